@@ -1,10 +1,13 @@
 """The corpus queries by name, each with its SQL oracle where SQL can express it."""
 
-from . import bpe, sharding, token_count
+from . import bpe, pii, quality, sharding, token_count, toxicity
 
 QUERIES = {
     "op3_shards": sharding.op3_shards,
+    "op4_pii": pii.op4_pii,
+    "op6_quality": quality.op6_quality,
     "op7_token_counts": token_count.op7_token_counts,
     "op9_bpe": bpe.op9_bpe,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
