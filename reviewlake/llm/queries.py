@@ -1,8 +1,10 @@
 """The corpus queries by name, each with its SQL oracle where SQL can express it."""
 
-from . import bpe, pii, quality, sharding, token_count, toxicity
+from . import bpe, linedup, minhash, pii, quality, sharding, token_count, toxicity
 
 QUERIES = {
+    "op1_near_dedup": minhash.op1_near_dedup,
+    "op2_line_dedup": linedup.op2_line_dedup,
     "op3_shards": sharding.op3_shards,
     "op4_pii": pii.op4_pii,
     "op6_quality": quality.op6_quality,
@@ -10,4 +12,6 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": linedup.OP2_SQL,
+}
