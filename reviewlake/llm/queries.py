@@ -1,6 +1,6 @@
 """The corpus queries by name, each with its SQL oracle where SQL can express it."""
 
-from . import bpe, linedup, minhash, pii, quality, sharding, token_count, toxicity
+from . import bpe, decontaminate, linedup, minhash, pii, quality, sharding, token_count, toxicity
 
 QUERIES = {
     "op1_near_dedup": minhash.op1_near_dedup,
@@ -9,9 +9,11 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op6_quality": quality.op6_quality,
     "op7_token_counts": token_count.op7_token_counts,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_bpe": bpe.op9_bpe,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": linedup.OP2_SQL,
+    "op8_decontamination": decontaminate.OP8_SQL,
 }
