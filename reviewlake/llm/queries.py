@@ -1,12 +1,13 @@
 """The corpus queries by name, each with its SQL oracle where SQL can express it."""
 
-from . import bpe, decontaminate, linedup, minhash, pii, quality, sharding, token_count, toxicity
+from . import bpe, decontaminate, linedup, minhash, pii, quality, sharding, token_count, toxicity, warc
 
 QUERIES = {
     "op1_near_dedup": minhash.op1_near_dedup,
     "op2_line_dedup": linedup.op2_line_dedup,
     "op3_shards": sharding.op3_shards,
     "op4_pii": pii.op4_pii,
+    "op5_warc": warc.op5_warc,
     "op6_quality": quality.op6_quality,
     "op7_token_counts": token_count.op7_token_counts,
     "op8_decontamination": decontaminate.op8_decontamination,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": linedup.OP2_SQL,
+    "op5_warc": warc.OP5_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
 }
