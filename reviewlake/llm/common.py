@@ -55,6 +55,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def few(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A staged table, to be broadcast if it has at most ``most`` rows, which are narrow, and else joined by hash."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def drop(*frames: DataFrame) -> None:
     """Removes what ``staged`` has written for these, once nothing will read them again."""
     for df in frames:
