@@ -12,8 +12,9 @@ with the item are formed, and no other can be above the threshold in its place.
 
 Windows alike to 0.8 differ in 10 of 64 bits on average and in more than 24 bits less than once in 100,000 times.
 
-How it scales: documents are read twice, and a document's text never leaves its task; what is shuffled is one row per
-shared shingle. Items are broadcast only while they have ``most_broadcast`` shingles or fewer, else joined by hash.
+How it scales: documents are read twice; what is shuffled is one row per shared shingle. Items are broadcast only while
+they have ``most_broadcast`` shingles or fewer, and the places of windows only while they are on a million documents or
+fewer; beyond that they are joined by hash.
 """
 
 from __future__ import annotations
@@ -110,8 +111,8 @@ def matches(
         windows = found if windows is None else windows.unionByName(found)
     if windows is None:
         return spark.createDataFrame([], "doc_id long, item_id long, similarity double, start int, n_words int")
-    places = windows.groupBy("doc_id").agg(F.collect_list(F.struct("k", "n", "start")).alias("at"))
-    cut = text.join(places, "doc_id").select("doc_id", "w", F.explode("at").alias("x"))
+    places = common.staged(windows.groupBy("doc_id").agg(F.collect_list(F.struct("k", "n", "start")).alias("at")), "places")
+    cut = text.join(common.few(places), "doc_id").select("doc_id", "w", F.explode("at").alias("x"))
     run = F.slice(F.col("w"), F.col("x.start") + 1, F.col("x.n"))
     cut = cut.select("doc_id", "x.k", "x.n", "x.start", run.alias("run"))
     features = F.lit(None).cast("array<bigint>")
