@@ -1,5 +1,8 @@
 """The queries of this library by name, each with its SQL oracle where SQL can express it."""
 
-QUERIES = {}
-ORACLES = {}
-FLAGSHIP = None
+from .plans import queries_files, queries_review
+
+QUERIES = {**queries_files.QUERIES, **queries_review.QUERIES}
+ORACLES = {**queries_files.ORACLES, **queries_review.ORACLES}
+#: Every review with its five most relevant files.
+FLAGSHIP = QUERIES["relevant_files_top5"]

@@ -79,13 +79,12 @@ def js_calls(lines: DataFrame, affected: DataFrame) -> DataFrame:
 def hunk_declaration(header: Column) -> Column:
     """struct(name, kind) declared in the text after a hunk's second @@, by the first pattern that fits."""
     after = F.trim(F.regexp_extract(header, r"^[^@]*@@(?:(?!@@).)*@@(.*)$", 1))
-    out = None
+    found = []
     for kind, pattern in L.HUNK_DECLARATIONS:
         one, two = _group(after, pattern, 1), _group(after, pattern, 2) if kind in (None, "go type") else None
         name, sort = (two, one) if kind is None else (one, two) if kind == "go type" else (one, F.lit(kind))
-        item = F.struct(F.element_at(F.split(name, "::"), -1).alias("name"), sort.alias("kind"))
-        out = F.when(name.isNotNull(), item) if out is None else out.when(name.isNotNull(), item)
-    return out
+        found.append(F.struct(F.element_at(F.split(name, "::"), -1).alias("name"), sort.alias("kind")))
+    return F.get(F.filter(F.array(*found), lambda d: d["name"].isNotNull()), F.lit(0))
 
 
 def hunk_symbols(hunks: DataFrame) -> DataFrame:
