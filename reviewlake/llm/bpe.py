@@ -30,7 +30,7 @@ NEVER = 1 << 60
 class RankArrayCodec(dict):
     """Word to its ids, found when first asked for; the store is bounded by ``most_words`` and ``longest_kept``."""
 
-    def __init__(self, path: str, most_words: int = 300_000, longest_kept: int = 64, short: int = 256):
+    def __init__(self, path: str, most_words: int = 200_000, longest_kept: int = 64, short: int = 256):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -56,57 +56,51 @@ class RankArrayCodec(dict):
         return ids
 
     def merged(self, word: str) -> tuple[int, ...]:
-        s = "".join([self.symbols[b] for b in word.encode()])
-        n = len(s)
-        part = lambda i, j: s[i:j] + self.suffix if j == n else s[i:j]
-        if n > self.short:
-            ends = self._long(s, part)
+        symbols = self.symbols
+        parts = [symbols[b] for b in word.encode()]
+        parts[-1] += self.suffix
+        if len(parts) > self.short:
+            parts = self._long(parts)
         else:
-            ends = self._scan(n, part)
+            self._scan(parts)
         # a symbol that the vocabulary lacks is left out, as it has no unknown token
-        return tuple([i for a, b in zip(ends, ends[1:]) if (i := self.vocab.get(part(a, b))) is not None])
-
-    def _scan(self, n: int, part) -> list[int]:
-        at = list(range(n + 1))
-        rank = self.rank
-        look = lambda k: rank.get((part(at[k], at[k + 1]), part(at[k + 1], at[k + 2])), NEVER)
-        ranks = [look(k) for k in range(n - 1)]
-        while ranks:
-            low = min(ranks)
-            if low == NEVER:
-                break
+        vocab = self.vocab
+        return tuple([vocab[p] for p in parts if p in vocab])
+
+    def _scan(self, parts: list[str]) -> None:
+        """Merges in place: parts are what lies between the boundaries, ranks[k] is that of parts k and k + 1."""
+        get = self.rank.get
+        ranks = [get(pair, NEVER) for pair in zip(parts, parts[1:])]
+        while ranks and (low := min(ranks)) != NEVER:
             k = ranks.index(low)
-            del at[k + 1]
-            del ranks[k]
+            parts[k] += parts[k + 1]
+            del parts[k + 1], ranks[k]
             if k < len(ranks):
-                ranks[k] = look(k)
+                ranks[k] = get((parts[k], parts[k + 1]), NEVER)
             if k:
-                ranks[k - 1] = look(k - 1)
-        return at
-
-    def _long(self, s: str, part) -> list[int]:
-        n, rank = len(s), self.rank
-        after, before = [*range(1, n + 1), -1], [*range(-1, n)]
-        gone = bytearray(n + 1)
-
-        def push(i: int) -> None:
-            j = after[i]
-            if 0 <= j < n and (r := rank.get((part(i, j), part(j, after[j])))) is not None:
-                heapq.heappush(heap, (r, i, j, after[j]))
-
-        heap: list[tuple[int, int, int, int]] = []
-        for i in range(n - 1):
-            push(i)
+                ranks[k - 1] = get((parts[k - 1], parts[k]), NEVER)
+
+    def _long(self, parts: list[str]) -> list[str]:
+        """The same rule for runs too long to be scanned for each merge: boundaries in a heap, lowest rank first."""
+        n, get = len(parts), self.rank.get
+        after, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := get((a, b))) is not None]
+        heapq.heapify(heap)
         while heap:
-            _, i, j, k = heapq.heappop(heap)
-            if gone[i] or gone[j] or after[i] != j or after[j] != k:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if not alive[i] or j < 0 or parts[i] != a or parts[j] != b:
                 continue
-            gone[j] = 1
-            after[i], before[k] = k, i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return [i for i in range(n + 1) if not gone[i]]
+            parts[i] = a + b
+            alive[j] = False
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for left in (i, before[i]):
+                right = after[left] if left >= 0 else -1
+                if right >= 0 and (r := get((parts[left], parts[right]))) is not None:
+                    heapq.heappush(heap, (r, left, parts[left], parts[right]))
+        return [p for p, ok in zip(parts, alive, strict=True) if ok]
 
     def normal(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)

@@ -85,8 +85,17 @@ def _clean() -> None:
             return
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get at most so many rows at a time, whatever the session's larger setting: it bounds their memory
+    where texts are long. It changes no result."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def documents(docs: DataFrame, *extra: str) -> DataFrame:
     """Only ``doc_id``, ``text`` and the named columns, so that further columns can clash with nothing."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *extra)
 
 
