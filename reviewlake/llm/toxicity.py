@@ -237,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, most_fit: int = 20_000) -> Classif
     got = rows.select("doc_id", "text", "toxic").mapInPandas(measured, "doc_id long, toxic int, x array<double>").toPandas()
     common.drop(rows)
     got = got.drop_duplicates("doc_id").sort_values("doc_id")
-    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), voters.n_groups + 5)
     return Classifier(voters, x, got["toxic"].to_numpy(dtype=int))
 
 
