@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions import text as T
 
 _group = lambda c, pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
 
@@ -162,8 +163,9 @@ def first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(order).alias(order))
 
 
-def symbols_imports_calls(files: DataFrame, hunks: DataFrame, sources: DataFrame, most: int = L.EVIDENCE_PER_FILE) -> DataFrame:
-    """review_id, file_ord, path, class, ord, name, kind, line_start, local_name, origin of all changed files.
+def symbols_imports_calls(files: DataFrame, hunks: DataFrame, sources: DataFrame, most: int = L.EVIDENCE_PER_FILE) -> tuple[DataFrame, DataFrame]:
+    """(rows, notes). rows: review_id, file_ord, path, class, ord, name, kind, line_start, local_name, origin of all
+    changed files. notes: review_id, file_ord, step, note; what could not be read, parsed or kept.
 
     files: classified changed files. Python goes through syntax trees, JavaScript and TypeScript through line patterns,
     all else, and files that yield no symbol or cannot be read, through the text after hunk headers.
@@ -172,7 +174,7 @@ def symbols_imports_calls(files: DataFrame, hunks: DataFrame, sources: DataFrame
 
     live = files.filter("not is_binary").select("review_id", "path", "file_ord", "language")
     affected = patches.affected_lines(hunks)
-    src = sources.join(live, ["review_id", "path"])
+    src = sources.filter("content is not null").select("review_id", "path", "content").join(live, ["review_id", "path"])
     py = python_rows(src.filter("language = 'python'").select("review_id", "path", "content"), affected)
     lines = source_lines(src.filter("language in ('javascript', 'typescript')"))
     decl = block_ends(lines, js_declarations(lines))
@@ -187,5 +189,16 @@ def symbols_imports_calls(files: DataFrame, hunks: DataFrame, sources: DataFrame
     fallback = hunk_symbols(hunks.join(done, ["review_id", "path"], "left_anti")).select(
         "review_id", "path", F.lit("symbol").alias("class"), F.col("hunk_ord").alias("ord"), "name", "kind", "line_start", F.lit(None).cast("string").alias("local_name"), "origin"
     )
-    kept, _ = evidence_cap(found.unionByName(fallback), most)
-    return live.select("review_id", "path", "file_ord").join(kept, ["review_id", "path"])
+    kept, omitted = evidence_cap(found.unionByName(fallback), most)
+    quoted = T.json_quoted(F.col("path"))
+    note = lambda df, step, text: df.join(live.select("review_id", "path", "file_ord"), ["review_id", "path"]).select("review_id", "file_ord", F.lit(step).alias("step"), text.alias("note"))
+    notes = note(broken, 2, F.concat(F.lit("Could not parse "), quoted, F.lit(" as Python; symbol extraction may be incomplete.")))
+    left_out = F.concat(F.lit("Omitted "), T.counted(F.col("omitted"), "evidence item", "evidence items"), F.lit(" for "), quoted, F.lit(f" because the per-file limit is {most:,}."))
+    notes = notes.unionByName(note(omitted, 3, left_out))
+    if "note" in sources.columns:
+        unread = sources.filter("note is not null").join(live.filter(F.col("language").isin(L.EXTRACTOR_LANGUAGES)).select("review_id", "path"), ["review_id", "path"], "left_semi")
+        notes = notes.unionByName(note(unread.select("review_id", "path", F.col("note").alias("_n")), 1, F.col("_n")))
+    scripts = src.filter("language in ('javascript', 'typescript')").groupBy("review_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("file_ord", "path"))), lambda x: x["path"]).alias("p"))
+    heuristic = F.concat(F.lit("JavaScript/TypeScript symbol extraction is heuristic for: "), T.path_summary(F.col("p")), F.lit("."))
+    notes = notes.unionByName(scripts.select("review_id", F.lit(2_000_000_000).alias("file_ord"), F.lit(9).alias("step"), heuristic.alias("note")))
+    return live.select("review_id", "path", "file_ord").join(kept, ["review_id", "path"]), notes

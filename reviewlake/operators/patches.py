@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
+from ..functions import text as T
+
 HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
@@ -69,3 +72,14 @@ def line_at(hunks: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (review_id, path, hunk_ord, new_line) with mark and line of the patch line that stands there."""
     rows = new_side(hunks).filter(F.col("mark") != "-").select("review_id", "path", "hunk_ord", "new_line", "mark", "line")
     return wanted.join(rows, ["review_id", "path", "hunk_ord", "new_line"], "left")
+
+
+def collection_notes(decided: DataFrame, per_file: int = L.PATCH_BYTES, total: int = L.TOTAL_PATCH_BYTES) -> DataFrame:
+    """review_id, file_ord, step, note about patches left out: review_id, file_ord, path, limit_reason, binary."""
+    quoted = T.json_quoted(F.col("path"))
+    text = F.when(F.col("limit_reason") == "file", F.concat(F.lit("Skipped patch hunks for "), quoted, F.lit(f" because its patch exceeds {per_file:,} bytes.")))
+    text = text.when(F.col("binary"), F.concat(F.lit("Skipped patch hunks for binary file "), quoted, F.lit(".")))
+    each = decided.select("review_id", "file_ord", F.lit(0).alias("step"), text.alias("note")).filter("note is not null")
+    n = decided.filter("limit_reason = 'aggregate'").groupBy("review_id").agg(F.count("*").alias("n"))
+    rest = F.concat(F.lit("Skipped patch hunks for "), F.format_number("n", 0), F.lit(f" files because buffered patch data exceeds {total:,} bytes."))
+    return each.unionByName(n.select("review_id", F.lit(2_000_000_000).alias("file_ord"), F.lit(0).alias("step"), rest.alias("note")))

@@ -31,7 +31,7 @@ class Options:
 @dataclass(frozen=True)
 class Feed:
     """reviews(review_id, current_branch, base_branch); files(review_id, file_ord, path, old_path, status, language);
-    raw_patches(review_id, file_ord, patch string); sources(review_id, path, content)."""
+    raw_patches(review_id, file_ord, patch string); sources(review_id, path, content, and a note where there is no content)."""
 
     reviews: DataFrame
     files: DataFrame
@@ -68,7 +68,8 @@ def model(feed: Feed, options: Options = Options()) -> Bundle:
     flags = p.select("review_id", "file_ord", F.col("binary").alias("is_binary"))
     has = hunks.select("review_id", "file_ord").distinct().withColumn("has_hunks", F.lit(True))
     files = cut(filtering.classified(kept.join(flags, ["review_id", "file_ord"], "left").join(has, ["review_id", "file_ord"], "left").fillna({"is_binary": False, "has_hunks": False})))
-    rows = cut(extract.symbols_imports_calls(files, hunks, feed.sources, options.evidence_per_file))
+    rows, read_notes = extract.symbols_imports_calls(files, hunks, feed.sources, options.evidence_per_file)
+    rows, read_notes = cut(rows), cut(read_notes)
     order = W.partitionBy("review_id").orderBy("file_ord", "ord", "name")
     pick = lambda kind, o: rows.filter(F.col("class") == kind).withColumn(o, F.row_number().over(order) - 1)
     symbols = cut(pick("symbol", "symbol_ord").select("review_id", "symbol_ord", "path", "name", "kind", "line_start", "origin"))
@@ -80,8 +81,13 @@ def model(feed: Feed, options: Options = Options()) -> Bundle:
     cites = found.select("review_id", F.explode("evidence").alias("c")).select("review_id", F.col("c.file_path").alias("path"))
     evidence_paths = symbols.select("review_id", "path").union(imports.select("review_id", "path")).union(calls.select("review_id", "path")).union(cites).union(files.filter("is_test").select("review_id", "path"))
     usable = cut(filtering.analyzable(files, evidence_paths))
-    other = summarize.unsupported_labels(files).select("review_id", F.lit(0).alias("note_ord"), summarize.unsupported_note(F.col("labels")).alias("note"))
-    notes = other.unionByName(scan_notes).groupBy("review_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("note_ord", "note"))), lambda x: x["note"]).alias("notes"))
+    # in this order: unsupported languages, patches, sources and extraction by file, limits of detection
+    placed = lambda df, place, file, step: df.select("review_id", F.struct(F.lit(place).alias("place"), file.alias("file"), step.alias("step"), F.col("note").alias("note")).alias("x"))
+    zero = F.lit(0)
+    other = summarize.unsupported_labels(files).select("review_id", summarize.unsupported_note(F.col("labels")).alias("note"))
+    notes = placed(other, 0, zero, zero).unionByName(placed(patches.collection_notes(p, options.per_patch_bytes, options.total_patch_bytes), 1, F.col("file_ord"), F.col("step")))
+    notes = notes.unionByName(placed(read_notes, 2, F.col("file_ord"), F.col("step"))).unionByName(placed(scan_notes, 3, F.col("note_ord"), zero))
+    notes = notes.groupBy("review_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["note"])).alias("notes"))
     return Bundle(
         files, all_files.filter("filter_reason is not null"), hunks, symbols, imports, calls, found, by_kind, summarize.purposes(files, symbols, by_kind),
         filtering.relevant_files(files, cites, symbols), notes, cut(questions.first_questions(questions.generate(files, usable, symbols, found), options.n_questions)),

@@ -222,4 +222,4 @@ def feed(spark: SparkSession, repos: list[Repo]):
     from ..plans.review import Feed
 
     t = {n: load(spark, repos, n) for n in TABLES}
-    return Feed(t["reviews"], t["files"], t["raw_patches"], t["sources"].filter("content is not null").select("review_id", "path", "content"))
+    return Feed(t["reviews"], t["files"], t["raw_patches"], t["sources"])

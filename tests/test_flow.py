@@ -267,3 +267,45 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = {r["path"]: r["filter_reason"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"dist/a.js": "generated directory", "src/a.py": None}
+
+
+def test_notes_in_order(spark):
+    files = spark.createDataFrame([(1, 0, "a.go", None, "modified", None), (1, 1, "b.py", None, "modified", None), (1, 2, "c.bin", None, "modified", None), (1, 3, "d.ts", None, "modified", None), (1, 4, "e.js", None, "added", None)], "review_id long, file_ord int, path string, old_path string, status string, language string")
+    hunk = "diff --git a b\n@@ -1 +1,2 @@\n+x(1)\n+y(2)\n"
+    raw = spark.createDataFrame([(1, 0, hunk), (1, 1, hunk), (1, 2, "diff --git\nBinary files a and b differ\n"), (1, 3, hunk + "+" + "z" * 300 + "\n"), (1, 4, hunk)], "review_id long, file_ord int, patch string")
+    sources = spark.createDataFrame([(1, "b.py", "def (", None), (1, "d.ts", "x(1)\ny(2)\n", None), (1, "e.js", None, "No source.")], "review_id long, path string, content string, note string")
+    feed = review.Feed(spark.createDataFrame([(1, "f", "m")], "review_id long, current_branch string, base_branch string"), files, raw, sources)
+    b = review.model(feed, review.Options(per_patch_bytes=200))
+    assert b.notes.first()["notes"] == [
+        "Symbol-level analysis was unavailable for Go (.go); any symbols inferred from hunk context are heuristic.", 'Skipped patch hunks for binary file "c.bin".',
+        'Skipped patch hunks for "d.ts" because its patch exceeds 200 bytes.', 'Could not parse "b.py" as Python; symbol extraction may be incomplete.', "No source.",
+        'JavaScript/TypeScript symbol extraction is heuristic for: "d.ts".',
+    ]
+
+
+def test_presented(spark, shop):
+    from reviewlake.operators import present
+
+    feed, b = shop
+    text = present.overview(feed.reviews, b.files, b.filtered).first()["overview"]
+    assert "Branch: feature -> main" in text and "Changes: 4 total, 3 analyzed, 1 filtered" in text and '  - "dist/app.js": generated directory' in text
+    text = present.summary(b.purposes, b.relevant, b.files, b.by_kind, b.notes).first()["summary"]
+    assert text.startswith("Purpose: Likely updates") and '  - network call: ' in text and "heuristic for" in text
+
+
+def test_hook_and_starter(repo, tmp_path):
+    from reviewlake.sources import setup
+
+    path = tmp_path / "hooks" / "pre-push"
+    script = setup.hook_script("a b")
+    assert "--base 'a b'" in script and subprocess.run(["sh", "-n", "-c", script], check=False).returncode == 0
+    assert [setup.install_hook(path, script), setup.install_hook(path, script), setup.install_hook(path, setup.hook_script())] == ["installed", "already-current", "updated"]
+    path.write_text("#!/bin/sh\n")
+    with pytest.raises(Exception, match="not managed"):
+        setup.install_hook(path, script)
+    assert setup.install_hook(path, script, force=True) == "updated"
+    assert setup.hook_path(str(repo)).name == "pre-push"
+    setup.write_starter(tmp_path / "c.yml")
+    assert config.load(tmp_path / "c.yml") == config.Config()
+    with pytest.raises(ConfigError):
+        setup.write_starter(tmp_path / "c.yml")
