@@ -13,6 +13,16 @@ from .sources import config, git, setup, transcript
 CONFIG = ".reviewlake.yml"
 
 
+def _typed() -> list[str]:
+    """Lines up to an empty one, or the end."""
+    out = []
+    while line := sys.stdin.readline():
+        out.append(line)
+        if line in ("\n", "\r\n"):
+            break
+    return out
+
+
 def _review(a: argparse.Namespace) -> None:
     from pyspark.sql import SparkSession
 
@@ -39,14 +49,16 @@ def _review(a: argparse.Namespace) -> None:
     typed: list[str] = []
     for i, q in enumerate(asked):
         print(f"\nQuestion {i + 1}/{len(asked)}: {q['prompt']}")
-        while line := sys.stdin.readline():
-            typed.append(line)
-            if line in ("\n", "\r\n"):
-                break
+        typed += _typed()
     lines = spark.createDataFrame([(1, "".join(typed))], "review_id long, text string")
     ids = spark.createDataFrame([(q["question_ord"], q["id"]) for q in asked], "question_ord int, question_id string")
     answers = transcript.parse(lines, len(asked)).join(ids, "question_ord").drop("question_ord")
     graded = review.assess(feed, b, answers, options)
+    more = graded.follow_ups.first()
+    if more is not None:
+        print(f"\nFollow-up: {more['prompt']}")
+        said = transcript.parse(spark.createDataFrame([(1, "".join(_typed()))], "review_id long, text string"), 1)
+        graded = review.assess(feed, b, answers, options, follow_up_answers=said)
     count = present.answer_counts(answers).first()
     print(f"\nAnswers: {count['answered']} answered, {count['skipped']} skipped")
     try:

@@ -104,16 +104,20 @@ class Graded:
     markdown: DataFrame
 
 
-def assess(feed: Feed, bundle: Bundle, answers: DataFrame, options: Options = Options(), generated_at=None) -> Graded:
-    """From answers (review_id, question_id, raw_text, skipped) to assessments, follow-ups, talking points and reports."""
+def assess(feed: Feed, bundle: Bundle, answers: DataFrame, options: Options = Options(), generated_at=None, follow_up_answers: DataFrame | None = None) -> Graded:
+    """From answers (review_id, question_id, raw_text, skipped) to assessments, follow-ups, talking points and reports.
+
+    follow_up_answers: review_id, raw_text, skipped; they are reported, not graded.
+    """
     b = bundle
     a = cut(grading.grade(b.questions, answers, b.files, b.symbols, b.calls, b.effects))
     f = selection.follow_ups(b.questions, a, b.files)
     if not options.follow_up:
         f = f.limit(0)
+    asked = f if follow_up_answers is None else f.join(follow_up_answers.select("review_id", "raw_text", "skipped"), "review_id", "left")
     points = selection.talking_points(b.purposes, b.questions, a, b.by_kind)
     stamp = F.current_timestamp() if generated_at is None else F.lit(generated_at).cast("timestamp")
-    payload = report.payload(feed.reviews, b.purposes, b.notes, b.questions, answers, a, f, points, stamp)
+    payload = report.payload(feed.reviews, b.purposes, b.notes, b.questions, answers, a, asked, points, stamp)
     return Graded(a, f, points, payload, report.markdown(payload))
 
 

@@ -79,14 +79,15 @@ def test_model(shop):
 
 def test_graded_with_a_gap(spark, shop):
     feed, b = shop
-    g = review.assess(feed, b, answers(spark, "database.transaction rollback undoes stripe.charge, so retry is safe."), generated_at="2026-07-18 12:30:45")
+    said = spark.createDataFrame([(1, "We reconcile pending charges.", False)], "review_id long, raw_text string, skipped boolean")
+    g = review.assess(feed, b, answers(spark, "database.transaction rollback undoes stripe.charge, so retry is safe."), generated_at="2026-07-18 12:30:45", follow_up_answers=said)
     assert [r["label"] for r in g.assessments.orderBy("question_ord").collect()] == ["Strong", "Gap found", "Strong"]
     f = g.follow_ups.collect()
     assert [(r["id"], [c["symbol"] for c in r["references"]]) for r in f] == [("failure-follow-up", ["stripe.charge", "database.transaction"])]
     text = g.markdown.first()["markdown"]
     assert text.startswith("# Change Review Report\n\nBranch: feature\nBase branch: main\nModel mode: local heuristic\nGenerated: 2026-07-18T12:30:45+00:00\n")
     assert "- Prepare to discuss: Revisit the rollback claim" in text and text.endswith("- Evidence to cite: `tests/order_handler.test.ts`.\n")
-    assert "## Follow-Up\n\n**Question**\n\n> To prepare for review" in text
+    assert "## Follow-Up\n\n**Question**\n\n> To prepare for review" in text and "> We reconcile pending charges." in text
 
 
 def test_all_strong_has_no_follow_up(spark, shop):
@@ -156,7 +157,7 @@ def test_empty_report(spark):
     df = spark.createDataFrame([(1, {"branch": "b"}, "P.")], "review_id long, metadata map<string,string>, purpose string").select(
         "*", F.lit(None).cast("array<string>").alias("notes"), F.lit(None).cast("array<string>").alias("points"),
         F.lit(None).cast(f"array<{empty.replace('skipped: boolean', f'skipped: boolean, assessment: struct<label: string, summary: string, confidence: string, strengths: array<string>, gaps: array<string>, evidence: array<{CITATION}>, uncertainty_notes: array<string>>')}>").alias("rounds"),
-        F.lit(None).cast(f"struct<prompt: string, references: array<{CITATION}>>").alias("follow_up"),
+        F.lit(None).cast(f"struct<prompt: string, references: array<{CITATION}>, raw_text: string, skipped: boolean>").alias("follow_up"),
     )
     want = "# Change Review Report\n\nBranch: b\nBase branch: \nModel mode: \nGenerated: \n\n## Change Summary\n\nP.\n\n## Questions and Answers\n\n## Review Talking Points\n\n- No review talking points generated.\n"
     assert report.markdown(df).first()["markdown"] == want
