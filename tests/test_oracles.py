@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from reviewlake import catalog
@@ -23,7 +24,7 @@ def rows(frame):
     cols = sorted(frame.columns)
 
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
         return int(v) if isinstance(v, float) and v == int(v) else v
 
