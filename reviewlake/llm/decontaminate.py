@@ -135,8 +135,8 @@ def matches(
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item; all their columns."""
-    found = matches(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = common.staged(matches(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "matched")
+    return docs.join(common.few(found), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
