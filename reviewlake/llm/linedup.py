@@ -47,22 +47,21 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.05, min_
 
 
 def _cleaned(docs: DataFrame, host: str, ratio: float, min_pages: int) -> DataFrame:
-    """``docs`` with _text (what stays), _n and _dropped."""
+    """_row (the columns of ``docs`` as a struct, so that none can clash), _text (what stays), _n and _dropped."""
     found = boilerplate(docs, host, ratio, min_pages)
-    joined = docs.withColumn("_host", _key(F.col(host))).join(found, "_host", "left").drop("_host")
-    lines = F.split("text", "\n")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    pages = docs.select(row.alias("_row"), F.col("text").alias("_old"), _key(F.col(host)).alias("_host")).join(found, "_host", "left")
+    lines = F.split("_old", "\n")
     boiler = lambda x: _word(x) & F.array_contains(F.col("_lines"), _mark(x))
     kept = F.filter(lines, lambda x: ~boiler(x))
     n_kept = F.size(F.filter("_keep", _word))
-    out = joined.withColumn("_n", F.coalesce(F.size(F.filter(lines, _word)), F.lit(0)))
-    out = out.withColumn("_keep", F.when(F.col("_lines").isNotNull() & F.col("text").isNotNull(), kept))
+    out = pages.withColumn("_n", F.coalesce(F.size(F.filter(lines, _word)), F.lit(0)))
+    out = out.withColumn("_keep", F.when(F.col("_lines").isNotNull() & F.col("_old").isNotNull(), kept))
     out = out.withColumn("_some", F.col("_keep").isNotNull() & (n_kept > 0) & (n_kept < F.col("_n")))
-    return out.withColumns(
-        {
-            "_text": F.when(F.col("_some"), F.array_join("_keep", "\n")).otherwise(F.col("text")),
-            "_dropped": F.when(F.col("_some"), F.col("_n") - n_kept).otherwise(0),
-        }
-    ).drop("_keep", "_some", "_lines")
+    return out.select(
+        "_row", "_n", F.when(F.col("_some"), F.array_join("_keep", "\n")).otherwise(F.col("_old")).alias("_text"),
+        F.when(F.col("_some"), F.col("_n") - n_kept).otherwise(0).alias("_dropped"),
+    )
 
 
 def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
@@ -72,7 +71,7 @@ def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = 0.05, min_
     Frequencies equal to ``ratio`` are not above it.
     """
     out = _cleaned(docs, host, ratio, min_pages)
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,7 +83,7 @@ def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = _cleaned(docs, "source", 0.05, 5)
     return out.select(
-        "doc_id", "source", F.col("_n").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"),
+        "_row.doc_id", "_row.source", F.col("_n").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"),
         F.col("_text").alias("clean_text"),
     )
 

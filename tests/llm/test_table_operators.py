@@ -109,7 +109,7 @@ def brute_lines(rows, ratio, least):
 
 def test_line_dedup(spark):
     rows = [(i, "a" if i % 3 else None, f"menu\nbody {i}\n\n  \nfoot {i % 2}\nmenu") for i in range(40)] + [(90, "b", "menu\nx"), (91, "a", "menu\nmenu"), (92, "a", None), (93, "a", ""), (91, "a", "menu\nmenu")]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("_n", F.lit(1)).drop("_n").withColumn("n_lines", F.lit("clash"))
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("_n", F.lit(1)).withColumn("_host", F.lit("h")).withColumn("a.b", F.lit("clash"))
     for ratio, least in ((0.3, 3), (0.6, 1), (1.0, 1)):
         got = linedup.dedup_lines(df, ratio=ratio, min_pages=least)
         assert got.columns == df.columns
