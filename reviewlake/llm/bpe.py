@@ -30,7 +30,7 @@ NEVER = 1 << 60
 class RankArrayCodec(dict):
     """Word to its ids, found when first asked for; the store is bounded by ``most_words`` and ``longest_kept``."""
 
-    def __init__(self, path: str, most_words: int = 200_000, longest_kept: int = 64, short: int = 256):
+    def __init__(self, path: str, most_words: int = 120_000, longest_kept: int = 64, short: int = 256):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)

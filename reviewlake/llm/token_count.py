@@ -40,7 +40,7 @@ class HeapCounter(dict):
     ``most_words`` and ``longest_kept`` bound the memory of this store, not what is counted.
     """
 
-    def __init__(self, path: str, most_words: int = 200_000, longest_kept: int = 64):
+    def __init__(self, path: str, most_words: int = 150_000, longest_kept: int = 64):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
