@@ -14,6 +14,7 @@ import unicodedata
 from array import array
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -134,13 +135,18 @@ def codec(path: str) -> RankArrayCodec:
     return _codecs[path]
 
 
+def _ints(ids: array) -> np.ndarray:
+    """Ids as Arrow takes them without a Python object for each."""
+    return np.frombuffer(ids, dtype=np.uint32).astype(np.int32)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and token_ids (array of int) of every row; null or empty text has none. No shuffle."""
 
     @F.pandas_udf("array<int>")
     def ids(text: pd.Series) -> pd.Series:
         c = codec(path)
-        return pd.Series([c.encode(t) for t in text])
+        return pd.Series([_ints(c.encode(t)) for t in text])
 
     return common.documents(docs).select("doc_id", ids(F.coalesce("text", F.lit(""))).alias("token_ids"))
 
@@ -167,7 +173,7 @@ def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         for t in text:
             ids = c.encode(t)
             row = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest())
-            rows.append((*row, ids) if with_ids else row)
+            rows.append((*row, _ints(ids)) if with_ids else row)
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids)
 
     return common.documents(docs).select("doc_id", both(F.coalesce("text", F.lit(""))).alias("x")).select("doc_id", "x.*")
