@@ -2,8 +2,10 @@
 
 Texts are lower-cased and parted by ASCII white space; features are shingles of five words (all words of an item that
 has fewer), weighted by how often they occur. For an item of n words the windows are runs of n words of a document.
-A window that is similar at all shares a shingle with the item, so only the windows that such a shown shingle lines up
-with the item are formed, and no other can be above the threshold in its place. Then:
+Every such window counts, wherever the item's shingles stand in it: the similarity is one of multisets, without order.
+A similar window holds so many places of item shingles that their number alone tells which windows to form: for each
+item size, the places of a document that show a shingle of an item of that size are counted over sliding windows, and
+the windows with as many of them as the threshold takes are formed; no other can reach it. Then:
 
 1. equal windows are one; each has a 64-bit SimHash over its weighted shingles;
 2. the fingerprint is cut into radius + 1 blocks: fingerprints within ``radius`` bits of an item's agree in one block
@@ -12,7 +14,7 @@ with the item are formed, and no other can be above the threshold in its place.
 
 Windows alike to 0.8 differ in 10 of 64 bits on average and in more than 24 bits less than once in 100,000 times.
 
-How it scales: documents are read twice; what is shuffled is one row per shared shingle. Items are broadcast only while
+How it scales: documents are read twice; what is shuffled is one row per shared shingle and item size. Items are broadcast only while
 they have ``most_broadcast`` shingles or fewer, and the places of windows only while they are on a million documents or
 fewer; beyond that they are joined by hash.
 """
@@ -68,10 +70,44 @@ def _block_values(fp: Column, radius: int) -> Column:
 def weighted_jaccard(a: Column, b: Column) -> Column:
     """Similarity of two multisets: sum of minima over sum of maxima."""
     count = lambda xs, v: F.size(F.filter(xs, lambda y: y == v))
-    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, v: acc + F.least(count(a, v), count(b, v)))
+    each = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, v: acc + F.least(count(a, v), count(b, v)))
+    single = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    both = F.when(single, F.size(F.array_intersect(a, b))).otherwise(each)
     return both / (F.size(a) + F.size(b) - both)
 
 
+def window_starts(places: Column, length: Column, n: Column, k: Column, threshold: float) -> Column:
+    """The starts of all windows of n words with enough of the places (sorted, distinct) for the threshold.
+
+    m shared shingles out of t in the window and u in the item are similar to m / (t + u - m), and m is at most the
+    number of places. Each run of as many places as are needed gives the starts of the windows that hold it, without
+    those of the run before, which hold it too.
+    """
+    t = F.least(length, n) - k + 1
+    least = F.ceil(F.lit(threshold) * (t + n - k + 1) / F.lit(1 + threshold) - F.lit(1e-9)).cast("int")
+    last = F.greatest(F.lit(0), length - n)
+
+    def starts(i):
+        before = F.when(i > 1, F.element_at(places, F.greatest(F.lit(1), i - 1))).otherwise(F.lit(-1))
+        low = F.greatest(F.lit(0), F.element_at(places, i + least - 1) - t + 1, before + 1)
+        high = F.least(F.element_at(places, i), last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(places) - least + 1), starts))
+    return F.when((least > 0) & (F.size(places) >= least), runs).otherwise(F.array().cast("array<int>"))
+
+
+def _stands(w: Column, f: Column) -> list[Column]:
+    """Whether some feature stands in w at its place in f, before it, after it."""
+    here = lambda j: F.element_at(w, j)
+    shared = (
+        lambda j: (j <= F.size(f)) & (F.get(f, j - 1) == here(j)),
+        lambda j: F.array_contains(F.slice(f, j + 1, F.size(f)), here(j)),
+        lambda j: F.array_contains(F.slice(f, F.lit(1), j - 1), here(j)),
+    )
+    return [F.exists(F.sequence(F.lit(1), F.size(w)), x).alias(name) for x, name in zip(shared, ("at_place", "before", "after"))]
+
+
 def items_of(benchmark: DataFrame, k: int) -> DataFrame:
     """item_id, n, k, features, fp of every item that has words; staged. Items of fewer than k words have one feature."""
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w"))
@@ -91,8 +127,8 @@ def matches(
 ) -> DataFrame:
     """(doc_id, item_id, similarity, start, n_words): the best window of each document for each item it contains.
 
-    start is the number of the window's first word, from 0; of equally similar windows the first counts. Null, empty
-    and word-free texts and items match nothing, a null doc_id or item_id is passed over. Documents shorter than an
+    start is the number of the window's first word, from 0; of equally similar windows the first counts that lines a
+    shared shingle up with the item, or would but for the text's ends, and else the first. Null, empty and word-free texts and items match nothing, a null doc_id or item_id is passed over. Documents shorter than an
     item are one window. Rows with one doc_id are one document. Similarity equal to the threshold matches.
     """
     spark = docs.sparkSession
@@ -104,21 +140,22 @@ def matches(
     windows = None
     for size in sizes:
         of_size = items.filter(F.col("k") == size)
-        shown = of_size.select("n", F.posexplode("features").alias("offset", "h")).distinct()
+        shown = of_size.select("n", F.explode("features").alias("h")).distinct()
         hashes = text.filter(F.size("w") >= size).select("doc_id", F.size("w").alias("len"), F.posexplode(shingle_hashes(F.col("w"), size)).alias("pos", "h"))
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("len") - F.col("n")))
-        found = hashes.join(small(shown), "h").select("doc_id", F.lit(size).alias("k"), "n", start.alias("start")).distinct()
+        found = hashes.join(small(shown), "h").groupBy("doc_id", "len", "n").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+        start = F.explode(window_starts(F.col("places"), F.col("len"), F.col("n"), F.lit(size), threshold))
+        found = found.select("doc_id", F.lit(size).alias("k"), "n", start.alias("start"))
         windows = found if windows is None else windows.unionByName(found)
     if windows is None:
         return spark.createDataFrame([], "doc_id long, item_id long, similarity double, start int, n_words int")
-    places = common.staged(windows.groupBy("doc_id").agg(F.collect_list(F.struct("k", "n", "start")).alias("at")), "places")
+    places = common.staged(windows.groupBy("doc_id").agg(F.collect_set(F.struct("k", "n", "start")).alias("at")), "places")
     cut = text.join(common.few(places), "doc_id").select("doc_id", "w", F.explode("at").alias("x"))
     run = F.slice(F.col("w"), F.col("x.start") + 1, F.col("x.n"))
-    cut = cut.select("doc_id", "x.k", "x.n", "x.start", run.alias("run"))
+    cut = cut.select("doc_id", "x.k", "x.n", "x.start", F.greatest(F.lit(0), F.size("w") - F.col("x.n")).alias("last"), run.alias("run"))
     features = F.lit(None).cast("array<bigint>")
     for size in sizes:
         features = F.when(F.col("k") == size, shingle_hashes(F.col("run"), size)).otherwise(features)
-    cut = common.staged(cut.select("doc_id", "n", "start", features.alias("features")).withColumn("mark", F.xxhash64("features")), "windows")
+    cut = common.staged(cut.select("doc_id", "n", "start", "last", features.alias("features")).withColumn("mark", F.xxhash64("features")), "windows")
     content = cut.groupBy("n", "mark").agg(F.first("features").alias("features")).withColumn("fp", simhash(F.col("features")))
     block = lambda df: df.select("*", F.posexplode(_block_values(F.col("fp"), radius)).alias("block", "value"))
     there = block(items.select("item_id", "n", F.col("features").alias("item_features"), "fp")).withColumnRenamed("fp", "item_fp")
@@ -127,8 +164,10 @@ def matches(
     first_block = F.array_position(_block_values(differ, radius), F.lit(0).cast("long")) - 1
     near = near.filter((F.bit_count(differ) <= radius) & (first_block == F.col("block")))
     near = near.withColumn("similarity", weighted_jaccard(F.col("features"), F.col("item_features"))).filter(F.col("similarity") >= threshold)
-    found = cut.join(near.select("n", "mark", "item_id", "similarity"), ["n", "mark"])
-    best = F.max_by(F.struct("similarity", "start", "n"), F.struct("similarity", (-F.col("start")).alias("s")))
+    near = near.select("n", "mark", "item_id", "similarity", *_stands(F.col("features"), F.col("item_features")))
+    lined_up = F.col("at_place") | ((F.col("start") == 0) & F.col("before")) | ((F.col("start") == F.col("last")) & F.col("after"))
+    found = cut.join(near, ["n", "mark"]).withColumn("lined_up", lined_up)
+    best = F.max_by(F.struct("similarity", "start", "n"), F.struct("similarity", "lined_up", (-F.col("start")).alias("s")))
     out = found.groupBy("doc_id", "item_id").agg(best.alias("b"))
     return out.select("doc_id", "item_id", "b.similarity", "b.start", F.col("b.n").alias("n_words"))
 

@@ -231,6 +231,35 @@ def test_decontamination_small(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(d, b, most_broadcast=0).collect()} == set(got)
 
 
+def test_decontamination_like_all_windows(spark):
+    """Every window of every document, also where the parts of an item come in another order."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    items = {i: word(n) for i, n in enumerate((40, 50, 59, 12, 40, 5))}
+    items[6] = ["a", "b"] * 15 + word(10)
+    docs = []
+    for w in items.values():
+        h = len(w) // 2
+        for x in (w, w[h:] + w[:h], w[1:], w[:-1], w[:-1] + word(1), w[3:] + w[:3], w[:h] + word(1) + w[h:]):
+            docs += [x, x + word(30), word(30) + x, word(1) + x + word(20), word(25) + x + word(25) + w]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    bags = lambda w, k: collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    want = {}
+    for i, w in enumerate(docs):
+        for j, v in items.items():
+            k, alike = min(5, len(v)), {}
+            for start in range(max(0, len(w) - len(v)) + 1):
+                x, y = bags(w[start : start + len(v)], k), bags(v, k)
+                alike[start] = (x & y).total() / (x | y).total()
+            if (best := max(alike.values())) >= 0.8:
+                want[i, j] = round(best, 6), {s for s in alike if alike[s] == best}
+    got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 6), r["start"]) for r in decontaminate.matches(d, b).collect()}
+    assert {p: s for p, (s, _) in got.items()} == {p: s for p, (s, _) in want.items()}
+    assert all(start in want[p][1] for p, (_, start) in got.items())
+    assert all((35 * i + 7, i) in got for i in range(3))  # the halves swapped
+
+
 def test_simhash_blocks_find_all_within_the_radius(spark):
     rng = np.random.default_rng(1)
     for radius in (3, 24):
