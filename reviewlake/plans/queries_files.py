@@ -255,7 +255,7 @@ def affected_lines(spark, sf):
 @query(f"WITH {NEW_SIDE} SELECT review_id, hunk_ord::BIGINT AS hunk_ord, new_line::INT AS new_line, mark, md5(line) AS line_md5 FROM ns WHERE mark <> '-' AND new_line % 2 = 0")
 def patch_line_lookup(spark, sf):
     hunks = patches.split_hunks(feed(spark, sf, feeds.PATCHES_SPARK))
-    wanted = patches.new_side(hunks).filter("new_line % 2 = 0").select("review_id", "path", "hunk_ord", "new_line").distinct()
+    wanted = patches.new_side(hunks).select("review_id", "path", "hunk_ord", "new_line").distinct()
     found = patches.line_at(hunks, wanted).filter("mark is not null")
     return found.select("review_id", F.col("hunk_ord").cast("long").alias("hunk_ord"), "new_line", "mark", F.md5("line").alias("line_md5"))
 
