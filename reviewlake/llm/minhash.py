@@ -13,8 +13,8 @@ Every tree is a sorted order of the classes by its key. Neighbours that share ``
   a forest of the likeliest ones.
 
 Pairs of the small regions whose sketches rule them out are left out, and the rest is verified on the full sets; verified links are joined into components by contraction. Crowded rows then
-go through once more: this time each proposes its likeliest partners in other components. No pairs are made within a
-component, so a group of thousands of copies costs a few links for each copy, whatever its size.
+go through once more: this time every pair of a region that lies in two components, and that sketches don't rule out, is
+verified. No pairs are made within a component, so a group of thousands of copies costs a few links for each copy, whatever its size.
 
 How sure: a pair at the threshold of 0.8 shares 3 minima in half the trees; 16 trees miss it once in 100,000 times. A
 key that many share is split over sorted partitions, so no task grows with a group. A region that a partition's border
@@ -199,10 +199,10 @@ def _deep_regions(tree: np.ndarray, keys: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _crowd_pairs(percent: int, last: bool):
-    """Pairs of crowded rows that may be similar: a forest of the likeliest, or in the last round, for every row, its
-    two likeliest partners in other components."""
+    """Pairs of crowded rows in other components that may be similar: a forest of the likeliest, or in the last round
+    all that sketches don't rule out (by four standard deviations)."""
     sigma = np.sqrt(percent / 100 * (1 - percent / 100) / SKETCH)
-    least = percent / 100 - 2.5 * sigma
+    least = percent / 100 - (4 if last else 2.5) * sigma
 
     def pairs(batches):
         got = _gathered(batches, {"key": (4 * HEAD + DEEP, np.uint8), "sketch": (SKETCH, np.uint8)}, ["tree", "doc_id", "n", "comp"])
@@ -210,6 +210,7 @@ def _crowd_pairs(percent: int, last: bool):
             return
         keys, sketch, tree, ids, n, comp = got
         found = set()
+        made, n_made = [], 0
         for lo, hi in _deep_regions(tree, keys):
             i, j = np.triu_indices(hi - lo, 1)
             i, j = i + lo, j + lo
@@ -220,6 +221,15 @@ def _crowd_pairs(percent: int, last: bool):
             ok = (sketch[i, :64] == sketch[j, :64]).sum(1) >= 64 * (percent / 100 - 0.25)
             i, j = i[ok], j[ok]
             est = np.concatenate([(sketch[i[p : p + 4096]] == sketch[j[p : p + 4096]]).mean(1) for p in range(0, len(i), 4096)] or [np.array([])])
+            if last:
+                ok = est >= least
+                a, b = ids[i[ok]], ids[j[ok]]
+                made.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
+                n_made += len(a)
+                if n_made > 200_000:  # what a task holds is bounded; repeats go in ``verified``
+                    yield pd.concat(made).drop_duplicates()
+                    made, n_made = [], 0
+                continue
             order = np.argsort(-est, kind="stable")
             root = {}
 
@@ -229,21 +239,17 @@ def _crowd_pairs(percent: int, last: bool):
                     x = root[x]
                 return x
 
-            used: dict[int, int] = {}
             for p in order:
                 if est[p] < least:
                     break
                 a, b = int(ids[i[p]]), int(ids[j[p]])
-                if last:
-                    if used.get(a, 0) >= 2 and used.get(b, 0) >= 2:
-                        continue
-                    used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-                else:
-                    x, y = top(a), top(b)
-                    if x == y:
-                        continue
-                    root[x] = y
+                x, y = top(a), top(b)
+                if x == y:
+                    continue
+                root[x] = y
                 found.add((min(a, b), max(a, b)))
+        if made:
+            yield pd.concat(made).drop_duplicates()
         yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
     return pairs

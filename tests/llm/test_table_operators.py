@@ -83,6 +83,22 @@ def test_near_duplicates_odd_tables(spark):
     assert sorted(str(r["doc_id"]) for r in minhash.stage(spark, df, SF).collect()) == ["2", "5", "6", "None"]
 
 
+def test_last_round_leaves_no_pair_of_a_crowded_region():
+    """All pairs of two components go to verification, down to four standard deviations below the threshold."""
+    rng = np.random.default_rng(3)
+    n, base = 40, rng.integers(0, 256, minhash.SKETCH, dtype=np.uint8)
+    sketch = np.tile(base, (n, 1))
+    for r in range(n):  # alike to some 0.75 by twos
+        at = rng.choice(np.arange(64, minhash.SKETCH), 68, replace=False)
+        sketch[r, at] = rng.integers(0, 256, len(at))
+    least = 0.8 - 4 * np.sqrt(0.16 / minhash.SKETCH)
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if a // 2 != b // 2 and (sketch[a] == sketch[b]).mean() >= least}
+    key = bytes(4 * minhash.HEAD + minhash.DEEP)
+    rows = pd.DataFrame({"tree": 0, "key": [key] * n, "doc_id": range(n), "n": 100, "comp": [i // 2 for i in range(n)], "sketch": [x.tobytes() for x in sketch]})
+    got = pd.concat(minhash._crowd_pairs(80, True)(iter([rows])))
+    assert len(want) > 100 and set(map(tuple, got[["a", "b"]].to_numpy().tolist())) == want
+
+
 def test_components_of_long_chains(spark):
     n = 300
     links = spark.createDataFrame([((i * 37) % n, (i + 1) * 37 % n) for i in range(n - 1)] + [(1000, 1001)], "a long, b long").repartition(9)
