@@ -277,23 +277,45 @@ def test_decontamination_like_all_windows(spark):
 
 
 def test_simhash_blocks_find_all_within_the_radius(spark):
+    """Against all pairs; every pair within the radius once, and few of the others ever meet."""
     rng = np.random.default_rng(1)
-    for radius in (3, 24):
-        cut = decontaminate.blocks(radius)
-        assert sum(n for _, n in cut) == 64 and len(cut) == radius + 1
-        for _ in range(200):
-            x = int(rng.integers(1 << 62))
-            y = x
-            for b in rng.choice(64, radius, replace=False):
-                y ^= 1 << int(b)
-            assert any((x >> a) & ((1 << n) - 1) == (y >> a) & ((1 << n) - 1) for a, n in cut)
+    bits = lambda: rng.integers(0, 2, 128)
+    long = lambda x: int(np.packbits(x, bitorder="little").view(np.int64)[0])
+    base = [bits() for _ in range(60)]
+    left = []
+    for i in range(240):
+        x = base[i % 60].copy()
+        x[rng.choice(128, i % 60, replace=False)] ^= 1
+        left.append(x)
+    rows = lambda xs: [(40, i, (long(x[:64]), long(x[64:]))) for i, x in enumerate(xs)]
+    a = spark.createDataFrame(rows(left), "n int, i long, fp struct<a: long, b: long>")
+    b = spark.createDataFrame(rows(base), "n int, item_id long, item_fp struct<a: long, b: long>")
+    for n, radius in ((13, 38), (4, 3), (13, 25)):
+        assert sum(w for _, w in decontaminate.blocks(n)) == 128
+        got = collections.Counter((r["i"], r["item_id"]) for r in decontaminate.near_prints(a, b, radius, n=n).collect())
+        want = {(i, j) for i, x in enumerate(left) for j, y in enumerate(base) if (x != y).sum() <= radius}
+        assert set(got) == want and set(got.values()) == {1}
+    meet = decontaminate.in_blocks(a, "fp").join(decontaminate.in_blocks(b, "item_fp", 2), ["n", "block", "value"])
+    assert meet.filter("i % 60 <> item_id").count() < 1.1 * 240 * 59
     fs = [[3, 5, 5], [-1], [1 << 62, 7, -9]]
-    got = [r["s"] for r in spark.createDataFrame([(f,) for f in fs], "f array<bigint>").select(decontaminate.simhash(F.col("f")).alias("s")).collect()]
+    got = [r["s"] for r in spark.createDataFrame([(f,) for f in fs], "f array<bigint>").select(decontaminate.simhash(F.col("f"))["a"].alias("s")).collect()]
     bit = lambda v, b: (v >> b) & 1
     for f, s in zip(fs, got, strict=True):
         assert [bit(s, b) for b in range(64)] == [int(2 * sum(bit(v, b) for v in f) > len(f)) for b in range(64)]
 
 
+def test_steps_show_every_window_that_reaches_the_threshold():
+    """At each step, each phase of the window and each choice of the places it misses, if these are hit first."""
+    for n, k in [(5, 5), (9, 5), (14, 5), (23, 5), (59, 5), (3, 3)]:
+        step = decontaminate.step_of([(n, k)], 0.8)
+        u = n - k + 1
+        for t in range(1, u + 1):
+            least = next((m for m in range(t + 1) if m / (t + u - m) >= 0.8 - 1e-9), None)
+            if least is not None:
+                assert min(len(range(-p % step, t, step)) for p in range(step)) > t - least
+    assert decontaminate.step_of([(14, 5), (59, 5)], 0.8) > 3
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
