@@ -252,7 +252,7 @@ def affected_lines(spark, sf):
     return patches.affected_lines(patches.split_hunks(feed(spark, sf, feeds.PATCHES_SPARK))).select("review_id", "line")
 
 
-@query(f"WITH {NEW_SIDE} SELECT review_id, hunk_ord::BIGINT AS hunk_ord, new_line::INT AS new_line, mark, md5(line) AS line_md5 FROM ns WHERE mark <> '-' AND new_line % 2 = 0")
+@query(f"WITH {NEW_SIDE} SELECT review_id, hunk_ord::BIGINT AS hunk_ord, new_line::INT AS new_line, mark, md5(line) AS line_md5 FROM ns WHERE mark <> '-'")
 def patch_line_lookup(spark, sf):
     hunks = patches.split_hunks(feed(spark, sf, feeds.PATCHES_SPARK))
     wanted = patches.new_side(hunks).select("review_id", "path", "hunk_ord", "new_line").distinct()
