@@ -35,10 +35,14 @@ def phrases(value: Column) -> Column:
     return F.coalesce(F.array_distinct(F.filter(found, says)), F.array().cast("array<string>"))
 
 
-def mentions(text: Column, found: Column) -> Column:
-    """Whether normalised text has one of the phrases as whole words."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    return F.exists(found, lambda p: padded.contains(F.concat(F.lit(" "), p, F.lit(" "))))
+def padded(c: Column) -> Column:
+    """Normalised text or a phrase between blanks: one holds another as whole words if it contains it so."""
+    return F.concat(F.lit(" "), c, F.lit(" "))
+
+
+def mentions(spaced: Column, found: Column) -> Column:
+    """Whether normalised text (``padded``, so that it is made once and not for each phrase) has one of the phrases."""
+    return F.exists(found, lambda p: spaced.contains(padded(p)))
 
 
 def json_quoted(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..functions.staging import cut
 from ..operators import effects, extract, filtering, grading, questions, report, selection, summarize
 from ..operators.effects import citation
 from ..sources import feeds, transcript
@@ -100,7 +101,8 @@ def context(spark, sf):
     files = filtering.classified(feed(spark, sf, feeds.FILES))
     symbols, found = feed(spark, sf, feeds.SYMBOLS), effects_with_evidence(spark, sf)
     paths = symbols.select("review_id", "path").union(feed(spark, sf, feeds.EFFECTS).select("review_id", "path"))
-    return files, filtering.analyzable(files, paths), symbols, found
+    files, symbols, found = cut(files), cut(symbols), cut(found)
+    return files, cut(filtering.analyzable(files, paths)), symbols, found
 
 
 @query(f"{BASE} SELECT review_id, x.path AS path, x.name AS name, x.line AS line_start FROM ps")
@@ -205,19 +207,24 @@ SYMBOL_NAMES = "sn AS (SELECT DISTINCT review_id, name FROM s)"
     f"WITH {R_SQL}, {S_SQL}, {SYMBOL_NAMES}, t AS (SELECT *, ' ' || {norm('raw_text')} || ' ' AS t FROM r) SELECT t.review_id, reply_ord, name, contains(t, ' ' || {norm('name')} || ' ') AS matched FROM t JOIN sn USING (review_id)"
 )
 def concept_match(spark, sf):
+    names, replies = named_and_said(spark, sf)
+    return replies.join(names, "review_id").select("review_id", "reply_ord", "name", T.mentions(F.col("spaced"), F.col("phrases")).alias("matched"))
+
+
+def named_and_said(spark, sf):
+    """Symbol names with their phrases, and replies as normalised text: each is worked out once, before they meet."""
     names = feed(spark, sf, feeds.SYMBOLS).select("review_id", "name").distinct()
-    rows = feed(spark, sf, feeds.REPLIES).join(names, "review_id")
-    return rows.select("review_id", "reply_ord", "name", T.mentions(T.normalize(F.col("raw_text")), T.phrases(F.col("name"))).alias("matched"))
+    replies = feed(spark, sf, feeds.REPLIES).select("review_id", "reply_ord", T.padded(T.normalize(F.col("raw_text"))).alias("spaced"))
+    return names.withColumn("phrases", T.phrases(F.col("name"))), replies
 
 
 @query(
-    f"WITH {R_SQL}, {S_SQL}, {SYMBOL_NAMES}, t AS (SELECT *, ' ' || {norm('raw_text')} || ' ' AS t FROM r WHERE reply_ord % 5 = 0) SELECT t.review_id, reply_ord, count(*) FILTER (NOT contains(t, ' ' || {norm('name')} || ' ')) AS n_missing FROM t JOIN sn USING (review_id) GROUP BY ALL"
+    f"WITH {R_SQL}, {S_SQL}, {SYMBOL_NAMES}, t AS (SELECT *, ' ' || {norm('raw_text')} || ' ' AS t FROM r) SELECT t.review_id, reply_ord, count(*) FILTER (NOT contains(t, ' ' || {norm('name')} || ' ')) AS n_missing FROM t JOIN sn USING (review_id) GROUP BY ALL"
 )
 def missing_citations_anti(spark, sf):
-    names = feed(spark, sf, feeds.SYMBOLS).groupBy("review_id").agg(F.collect_set("name").alias("names"))
-    rows = feed(spark, sf, feeds.REPLIES).join(names, "review_id")
-    text = T.normalize(F.col("raw_text"))
-    return rows.select("review_id", "reply_ord", F.size(F.filter("names", lambda n: ~T.mentions(text, T.phrases(n)))).cast("long").alias("n_missing"))
+    names, replies = named_and_said(spark, sf)
+    rows = replies.join(names.groupBy("review_id").agg(F.collect_list("phrases").alias("names")), "review_id")
+    return rows.select("review_id", "reply_ord", F.size(F.filter("names", lambda n: ~T.mentions(F.col("spaced"), n))).cast("long").alias("n_missing"))
 
 
 CLAIM = "'call n3', 'processor charge', 'call n1', 'network call', 'external effect'"
