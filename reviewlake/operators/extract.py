@@ -45,20 +45,27 @@ def block_ends(lines: DataFrame, starts: DataFrame) -> DataFrame:
     """starts (review_id, path, line_no, ...) with end_line: where the braces opened from that line on are closed.
 
     Counting begins at the first line with an opening brace, at or after the start; without a close, the start itself.
+    A line that lowers the depth closes every level between; the next close of a block's level ends it, so each file is
+    passed over in order, forwards for the depth and backwards for what comes next, and no line meets all others.
     """
     count = lambda ch: F.length("line") - F.length(F.replace(F.col("line"), F.lit(ch), F.lit("")))
-    order = W.partitionBy("review_id", "path").orderBy("line_no")
+    forwards = W.partitionBy("review_id", "path").orderBy("line_no")
+    backwards = W.partitionBy("review_id", "path").orderBy(F.desc("line_no"))
     m = lines.withColumn("opens", count("{")).withColumn("net", count("{") - count("}"))
-    m = m.withColumn("depth", F.sum("net").over(order))
-    m = m.withColumn("first_open", F.min(F.when(F.col("opens") > 0, F.col("line_no"))).over(order.rowsBetween(0, W.unboundedFollowing)))
-    m = m.select("review_id", "path", "line_no", "depth", "net", "first_open")
-    s = starts.join(m.select("review_id", "path", "line_no", "first_open"), ["review_id", "path", "line_no"])
-    o = m.select("review_id", "path", F.col("line_no").alias("first_open"), (F.col("depth") - F.col("net")).alias("base"))
-    s = s.join(o, ["review_id", "path", "first_open"], "left")
-    e = m.select("review_id", "path", F.col("line_no").alias("end_no"), F.col("depth").alias("end_depth"))
-    inside = (F.col("end_no") >= F.col("first_open")) & (F.col("end_depth") <= F.col("base"))
-    ends = s.join(e, ["review_id", "path"]).filter(inside).groupBy("review_id", "path", "line_no").agg(F.min("end_no").alias("end_line"))
-    return starts.join(ends, ["review_id", "path", "line_no"], "left").withColumn("end_line", F.coalesce("end_line", "line_no"))
+    m = m.withColumn("depth", F.sum("net").over(forwards))
+    opening = F.when(F.col("opens") > 0, F.struct(F.col("line_no").alias("at"), (F.col("depth") - F.col("net")).alias("base"), "depth"))
+    m = m.withColumn("open", F.last(opening, ignorenulls=True).over(backwards))
+    keys = ["review_id", "path", "line_no"]
+    s = starts.join(m.select(*keys, "open"), keys)
+    closes = m.filter("net < 0").select("review_id", "path", F.explode(F.sequence("depth", F.col("depth") - F.col("net") - 1)).alias("level"), F.col("line_no").alias("at"), F.col("line_no").alias("close"))
+    asked = s.filter("open.depth > open.base").select("review_id", "path", F.col("open.base").alias("level"), F.col("open.at").alias("at")).distinct()
+    both = asked.withColumn("close", F.lit(None).cast(dict(closes.dtypes)["close"])).unionByName(closes)
+    later = W.partitionBy("review_id", "path", "level").orderBy(F.desc("at")).rowsBetween(W.unboundedPreceding, -1)
+    ends = both.withColumn("end", F.last("close", ignorenulls=True).over(later)).filter("close is null and end is not null")
+    ends = ends.select("review_id", "path", F.col("at").alias("open_at"), "end")
+    s = s.withColumn("open_at", F.col("open.at")).join(ends, ["review_id", "path", "open_at"], "left")
+    at_once = F.when(F.col("open.depth") <= F.col("open.base"), F.col("open_at"))
+    return s.withColumn("end_line", F.coalesce(at_once, "end", "line_no")).select(*starts.columns, "end_line")
 
 
 def js_imports(lines: DataFrame) -> DataFrame:
