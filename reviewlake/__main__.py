@@ -35,7 +35,7 @@ def _review(a: argparse.Namespace) -> None:
     spark = SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     options = review.Options(exclude=o.exclude, n_questions=o.questions, follow_up=not a.no_follow_up)
-    feed = git.feed(spark, [git.Repo(1, root, o.base, o.include_uncommitted)])
+    feed = git.feed(spark, [git.Repo(1, root, o.base, o.include_uncommitted)], o.exclude)
     b = review.model(feed, options)
     print(present.overview(feed.reviews, b.files, b.filtered).first()["overview"], end="\n\n")
     shown = present.summary(b.purposes, b.relevant, b.files, b.by_kind, b.notes).first()

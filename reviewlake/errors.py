@@ -35,6 +35,10 @@ class CollectionFailed(ReviewError):
     pass
 
 
+class IdsDiffer(ReviewError):
+    pass
+
+
 class ConfigError(ReviewError):
     pass
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import CollectionFailed, IdsDiffer
 from ..functions import lexicon as L
 from ..functions.staging import cut
 from ..operators import effects, extract, filtering, grading, patches, questions, report, selection, summarize
@@ -26,6 +27,7 @@ class Options:
     evidence_per_file: int = L.EVIDENCE_PER_FILE
     calls_scanned: int = L.CALLS_SCANNED
     effects_kept: int = L.EFFECTS
+    changed_files: int = L.CHANGED_FILES
 
 
 @dataclass(frozen=True)
@@ -56,10 +58,27 @@ class Bundle:
     status: DataFrame
 
 
+def _enforce_file_limit(kept: DataFrame, most: int) -> None:
+    """The least review with more files to analyse than the limit stops all."""
+    over = filtering.over_limit(kept, most).orderBy("review_id").first()
+    if over is not None:
+        raise CollectionFailed(
+            f"More than {most:,} files are left to analyse in review {over['review_id']}.", "Review a smaller change or raise the limit.", f"{over['n_files']:,} files"
+        )
+
+
+def _enforce_ids(questions: DataFrame, others: DataFrame, of: str) -> None:
+    """Questions and what belongs to them must match one to one by id; the least review where they do not stops all."""
+    wrong = selection.id_problems(questions, others, of).orderBy("review_id", "problem").first()
+    if wrong is not None:
+        raise IdsDiffer(f"In review {wrong['review_id']}: {wrong['problem']}.", "Give each question exactly one answer, by its id.")
+
+
 def model(feed: Feed, options: Options = Options()) -> Bundle:
-    """From a change feed to summaries and questions."""
+    """From a change feed to summaries and questions. A review with more files to analyse than the limit is an error."""
     all_files = filtering.with_filter_reason(feed.files, list(options.exclude))
     kept = all_files.filter("filter_reason is null").drop("filter_reason")
+    _enforce_file_limit(kept, options.changed_files)
     p = feed.raw_patches.join(kept.select("review_id", "file_ord", "path"), ["review_id", "file_ord"])
     budget = filtering.patch_budget(p.select("review_id", "file_ord", F.octet_length("patch").cast("long").alias("n_bytes")), options.per_patch_bytes, options.total_patch_bytes)
     p = p.join(budget.select("review_id", "file_ord", "limit_reason"), ["review_id", "file_ord"]).withColumn("binary", F.col("limit_reason").isNull() & patches.is_binary(F.col("patch")))
@@ -107,10 +126,13 @@ class Graded:
 def assess(feed: Feed, bundle: Bundle, answers: DataFrame, options: Options = Options(), generated_at=None, follow_up_answers: DataFrame | None = None) -> Graded:
     """From answers (review_id, question_id, raw_text, skipped) to assessments, follow-ups, talking points and reports.
 
-    follow_up_answers: review_id, raw_text, skipped; they are reported, not graded.
+    follow_up_answers: review_id, raw_text, skipped; they are reported, not graded. Answers whose ids are not those of
+    the questions, one each, are an error.
     """
     b = bundle
+    _enforce_ids(b.questions, answers, "answer")
     a = cut(grading.grade(b.questions, answers, b.files, b.symbols, b.calls, b.effects))
+    _enforce_ids(b.questions, a, "assessment")
     f = selection.follow_ups(b.questions, a, b.files)
     if not options.follow_up:
         f = f.limit(0)

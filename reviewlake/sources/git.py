@@ -2,7 +2,8 @@
 
 ``GitChanges`` is a data source of which every repository is one partition, so many are read at once; the option
 ``table`` picks the relation. All of a review is read at one object id, so commits made meanwhile change nothing.
-The limits are part of what is computed: they decide which patches and sources there are.
+The limits are part of what is computed: they decide which patches and sources there are. Git's output is read bit by
+bit: metadata beyond its limit stop it while it is read, and of the patches only the wanted ones are ever held.
 """
 
 from __future__ import annotations
@@ -11,14 +12,19 @@ import json
 import os
 import stat
 import subprocess
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass
+from itertools import chain
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import BaseNotFound, CollectionFailed, DetachedHead, GitFailed, NotARepository
 from ..functions import lexicon as L
+from ..functions.staging import cut
 
 TABLES = {
     "reviews": "review_id long, repo_root string, current_branch string, base_branch string, merge_base string, source_revision string, includes_uncommitted boolean",
@@ -50,6 +56,27 @@ def git(root: str, *args: str, ok: tuple[int, ...] = (0,)) -> bytes:
     return p.stdout
 
 
+def streamed(root: str, *args: str, size: int = 65_536) -> Iterator[bytes]:
+    """What Git prints, bit by bit. Whoever stops reading ends the process."""
+    env = os.environ | {"LC_ALL": "C", "LANG": "C", "GIT_OPTIONAL_LOCKS": "0"}
+    with tempfile.TemporaryFile() as errors:
+        try:
+            p = subprocess.Popen(["git", "-C", root, *args], stdout=subprocess.PIPE, stderr=errors, env=env)
+        except OSError as e:
+            raise GitFailed("Git could not be started.", "Install Git and make it reachable.", str(e)) from e
+        try:
+            while data := p.stdout.read(size):
+                yield data
+            if p.wait():
+                errors.seek(0)
+                raise GitFailed(f"`git {args[0]}` failed.", "See the details.", errors.read().decode(errors="replace").strip())
+        finally:
+            if p.poll() is None:
+                p.kill()
+                p.wait()
+            p.stdout.close()
+
+
 def _text(b: bytes) -> str:
     """Text of bytes; what is not UTF-8 is replaced, since Spark strings hold no other bytes."""
     return b.decode("utf-8", "replace")
@@ -105,19 +132,45 @@ def parse_metadata(data: bytes, most: int = L.RAW_FILES) -> list[tuple[str, str
     return out
 
 
+def read_metadata(chunks: Iterable[bytes], most: int = L.METADATA_BYTES, end: bytes = b"\0\0") -> tuple[bytes, bytes]:
+    """(metadata, what was read after it); it ends at two NULs. The limit holds while it is read."""
+    held, seen = bytearray(), 0
+    for c in chunks:
+        held += c
+        at = held.find(end, max(0, seen - len(end) + 1))
+        seen = len(held)
+        if (at if at >= 0 else seen) > most:
+            break
+        if at >= 0:
+            return bytes(held[:at]), bytes(held[at + len(end) :])
+    if not held:
+        return b"", b""
+    raise CollectionFailed("Changed-file metadata is incomplete or too large.", "Compare with a nearer base.", f"limit {most:,} bytes")
+
+
+def read_patches(chunks: Iterable[bytes], wanted: Callable[[int], bool] = lambda i: True) -> Iterator[bytes | None]:
+    """The patches, each from a line "diff --git " on; None for those that are not wanted, which are not held."""
+    marker = b"\ndiff --git "
+    tail, i, held = bytearray(b"\n"), -1, []
+    for c in chunks:
+        tail += c
+        at = 0
+        while (found := tail.find(marker, at)) >= 0:
+            if i >= 0:
+                yield b"".join([*held, tail[at : found + 1]]) if wanted(i) else None
+            i, held, at = i + 1, [], found + 1
+        safe = max(at, len(tail) - len(marker) + 1)  # a marker may begin in what is left
+        if i >= 0 and wanted(i):
+            held.append(bytes(tail[at:safe]))
+        del tail[:safe]
+    if i >= 0:
+        yield b"".join([*held, tail]) if wanted(i) else None
+
+
 def split_output(data: bytes, most_metadata: int = L.METADATA_BYTES) -> tuple[bytes, list[bytes]]:
-    """(metadata, patches): metadata ends at two NULs, each patch begins at a line "diff --git "."""
-    if not data:
-        return b"", []
-    meta, sep, rest = data.partition(b"\0\0")
-    if not sep or len(meta) > most_metadata:
-        raise CollectionFailed("Changed-file metadata is incomplete or too large.", "Compare with a nearer base.")
-    marker = b"diff --git "
-    starts, at = ([0] if rest.startswith(marker) else []), 0
-    while (at := rest.find(b"\n" + marker, at)) >= 0:
-        at += 1
-        starts.append(at)
-    return meta, [rest[a:b] for a, b in zip(starts, [*starts[1:], len(rest)])]
+    """(metadata, patches) of output that is at hand."""
+    meta, rest = read_metadata([data] if data else [], most_metadata)
+    return meta, list(read_patches([rest]))
 
 
 def read_source(root: str, revision: str, path: str, working_tree: bool, most: int = L.SOURCE_BYTES) -> tuple[str | None, str | None]:
@@ -155,8 +208,8 @@ def read_source(root: str, revision: str, path: str, working_tree: bool, most: i
         return None, f"Source for {quoted} is not UTF-8 text."
 
 
-def collect(repo: Repo, table: str):
-    """Rows of one relation of a repository."""
+def collect(repo: Repo, table: str, wanted: frozenset[int] | None = None):
+    """Rows of one relation of a repository; of the patches those of the wanted ordinals, or all."""
     root, branch = detect(repo.root)
     base = base_branch(root, repo.base)
     revision = _text(git(root, "rev-parse", "--verify", "HEAD^{commit}")).strip()
@@ -166,16 +219,23 @@ def collect(repo: Repo, table: str):
         return
     ends = [start] if repo.include_uncommitted else [start, revision]
     # fixed values: how changes are listed
-    out = git(root, "diff", "--raw", "-z", "--patch", "--find-renames", "--unified=80", "--no-color", "--no-ext-diff", "--no-textconv", "--full-index", *ends, "--")
-    meta, patches = split_output(out)
-    files = parse_metadata(meta)
-    if len(files) != len(patches):
-        raise CollectionFailed("Changed files and patches do not match.", details=f"{len(files)} files, {len(patches)} patches")
-    for i, ((path, old, status), patch) in enumerate(zip(files, patches, strict=True)):
+    how = ["--find-renames", "--unified=80", "--no-color", "--no-ext-diff", "--no-textconv", "--full-index"]
+    if table == "raw_patches":
+        out = streamed(root, "diff", "--raw", "-z", "--patch", *how, *ends, "--")
+        meta, rest = read_metadata(out)
+        n_files, n_patches = len(parse_metadata(meta)), 0
+        for i, patch in enumerate(read_patches(chain([rest], out), lambda i: wanted is None or i in wanted)):
+            n_patches += 1
+            if patch is not None:
+                yield repo.review_id, i, _text(patch)
+        if n_files != n_patches:
+            raise CollectionFailed("Changed files and patches do not match.", details=f"{n_files} files, {n_patches} patches")
+        return
+    # without patches the metadata is all there is, each path ended by a NUL
+    meta, _ = read_metadata(chain(streamed(root, "diff", "--raw", "-z", *how, *ends, "--"), [b"\0"]))
+    for i, (path, old, status) in enumerate(parse_metadata(meta)):
         if table == "files":
             yield repo.review_id, i, path, old, status, None
-        elif table == "raw_patches":
-            yield repo.review_id, i, _text(patch)
         elif status != "deleted" and Path(path).suffix.lower() in L.LANGUAGE_OF_SUFFIX and L.LANGUAGE_OF_SUFFIX[Path(path).suffix.lower()] in L.EXTRACTOR_LANGUAGES:
             content, note = read_source(root, revision, path, repo.include_uncommitted)
             yield repo.review_id, path, content, note
@@ -184,17 +244,20 @@ def collect(repo: Repo, table: str):
 @dataclass
 class One(InputPartition):
     repo: dict
+    wanted: list[int] | None = None
 
 
 class GitReader(DataSourceReader):
     def __init__(self, options):
         self.table, self.repos = options["table"], json.loads(options["repos"])
+        self.wanted = json.loads(options["wanted"]) if "wanted" in options else None
 
     def partitions(self):
-        return [One(r) for r in self.repos]
+        of = lambda r: None if self.wanted is None else self.wanted.get(str(r["review_id"]), [])
+        return [One(r, of(r)) for r in self.repos]
 
     def read(self, partition):
-        yield from collect(Repo(**partition.repo), self.table)
+        yield from collect(Repo(**partition.repo), self.table, None if partition.wanted is None else frozenset(partition.wanted))
 
 
 class GitChanges(DataSource):
@@ -209,17 +272,23 @@ class GitChanges(DataSource):
         return GitReader(self.options)
 
 
-def load(spark: SparkSession, repos: list[Repo], table: str) -> DataFrame:
-    """One relation of all repositories."""
+def load(spark: SparkSession, repos: list[Repo], table: str, wanted: dict[int, list[int]] | None = None) -> DataFrame:
+    """One relation of all repositories; of the patches those of the wanted ordinals of each review, or all."""
     spark.dataSource.register(GitChanges)
     if not repos:
         return spark.createDataFrame([], TABLES[table])
-    return spark.read.format("git_changes").option("table", table).option("repos", json.dumps([asdict(r) for r in repos])).load()
+    reader = spark.read.format("git_changes").option("table", table).option("repos", json.dumps([asdict(r) for r in repos]))
+    return (reader if wanted is None else reader.option("wanted", json.dumps(wanted))).load()
 
 
-def feed(spark: SparkSession, repos: list[Repo]):
-    """The change feed of repositories, for plans.review."""
+def feed(spark: SparkSession, repos: list[Repo], exclude: tuple[str, ...] = ()):
+    """The change feed of repositories, for plans.review. Patches of files that the file filter leaves out are not read
+    into memory: the filter runs over the listed files first, whose number the raw-file limit bounds."""
+    from ..operators import filtering
     from ..plans.review import Feed
 
-    t = {n: load(spark, repos, n) for n in TABLES}
-    return Feed(t["reviews"], t["files"], t["raw_patches"], t["sources"])
+    t = {n: load(spark, repos, n) for n in TABLES if n != "raw_patches"}
+    t["files"] = cut(t["files"])
+    kept = filtering.with_filter_reason(t["files"], list(exclude)).filter("filter_reason is null")
+    wanted = {r["review_id"]: r["ords"] for r in kept.groupBy("review_id").agg(F.collect_list("file_ord").alias("ords")).collect()}
+    return Feed(t["reviews"], t["files"], load(spark, repos, "raw_patches", wanted), t["sources"])

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.errors import BaseNotFound, CollectionFailed, ConfigError, DetachedHead, NotARepository
+from reviewlake.errors import BaseNotFound, CollectionFailed, ConfigError, DetachedHead, GitFailed, IdsDiffer, NotARepository
 from reviewlake.operators import grading, questions, report, selection, summarize
 from reviewlake.operators.effects import CITATION, citation
 from reviewlake.plans import review
@@ -310,3 +310,53 @@ def test_hook_and_starter(repo, tmp_path):
     assert config.load(tmp_path / "c.yml") == config.Config()
     with pytest.raises(ConfigError):
         setup.write_starter(tmp_path / "c.yml")
+
+
+def test_too_many_files_to_analyse_stop_a_review(spark, shop):
+    """Only files that the filter keeps count: three of four here."""
+    feed, _ = shop
+    review.model(feed, review.Options(changed_files=3))
+    with pytest.raises(CollectionFailed, match="More than 2 files"):
+        review.model(feed, review.Options(changed_files=2))
+
+
+def test_answers_must_match_questions_by_id(spark, shop):
+    feed, b = shop
+    sound = answers(spark, "x")
+    for rows, why in ((sound.filter("question_id <> 'failure'"), "must match"), (sound.unionByName(sound.limit(1)), "answer IDs must be unique"), (sound.withColumn("review_id", F.lit(2).cast("long")), "must match")):
+        with pytest.raises(IdsDiffer, match=why):
+            review.assess(feed, b, rows)
+
+
+def test_output_is_split_alike_however_it_comes():
+    meta, patches = b":1 1 a b M\0p\0:1 1 a b M\0q", [b"diff --git a\n+x\n", b"diff --git b\n+\n+diff --git no\n", b"diff --git c\n"]
+    data = meta + b"\0\0" + b"".join(patches)
+    for size in range(1, len(data) + 1):
+        chunks = iter([data[i : i + size] for i in range(0, len(data), size)])
+        found, rest = git.read_metadata(chunks)
+        assert (found, list(git.read_patches([rest, *chunks]))) == (meta, patches)
+    assert list(git.read_patches([data[len(meta) + 2 :]], lambda i: i == 1)) == [None, patches[1], None]
+
+
+def test_metadata_limit_holds_while_reading():
+    def endless():
+        while True:
+            yield b":1 1 a b M\0p\0"
+
+    with pytest.raises(CollectionFailed, match="too large"):
+        git.read_metadata(endless(), most=10_000)
+
+
+def test_only_wanted_patches_are_read(spark, repo):
+    everything = {r["file_ord"]: r["patch"] for r in git.load(spark, [git.Repo(1, str(repo))], "raw_patches").collect()}
+    assert len(everything) == 4
+    some = git.load(spark, [git.Repo(1, str(repo))], "raw_patches", {1: [2]}).collect()
+    assert [(r["file_ord"], r["patch"]) for r in some] == [(2, everything[2])]
+    assert git.load(spark, [git.Repo(1, str(repo))], "raw_patches", {}).count() == 0
+    assert {r["file_ord"] for r in git.feed(spark, [git.Repo(1, str(repo))]).raw_patches.collect()} == {1, 2, 3}  # dist/app.js is filtered
+
+
+def test_failures_of_git_are_told(repo):
+    with pytest.raises(GitFailed, match="diff"):
+        list(git.streamed(str(repo), "diff", "nosuchref", "--"))
+    assert next(git.streamed(str(repo), "log", size=3))  # and a reader may stop early
