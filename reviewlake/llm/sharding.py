@@ -8,7 +8,8 @@ ceil((1 + epsilon) * n / shards), which moves fewer keys when shards or keys com
 
 How it scales: the driver sees only one count per ring position (``cells`` is a parameter, whatever the input);
 it plans which stretch of each position's rows goes to which shard. Rows are numbered in blocks of at most about
-``block_rows``, so that neither a hot key nor a large shard meets in one task.
+``block_rows``, by a hash of their values, so that neither a hot key nor a large shard meets in one task; of rows that
+are alike in all values, where there are more of them than that, each block takes any, since they are interchangeable.
 """
 
 from __future__ import annotations
@@ -73,7 +74,9 @@ def shard(
     """doc_id, size, text_crc32, shard, slot of every row; nothing is dropped, repeated rows each have a slot.
 
     Null text: size 1, text_crc32 null. Null doc_id: a key like any other. Empty table: no rows. Slots of a shard
-    run from 0 without gaps. Equal (doc_id, text) rows are interchangeable; all else is decided by the rows.
+    run from 0 without gaps. Rows alike in doc_id, size and text_crc32 are interchangeable; all else is decided by the
+    rows, however they are dealt over partitions. Very long texts only count by their bytes. Further columns are not
+    looked at.
     """
     spark = docs.sparkSession
     keyed = docs.select(
@@ -93,25 +96,40 @@ def shard(
     stretches = plan(counts, bounds, ring(n_shards, vnodes, cells, seed))
     # at most cells * n_shards rows, by the parameters alone
     stretches = spark.createDataFrame(stretches, "cell int, lo long, hi long, shard int, base long")
-    parts = spark.createDataFrame(
-        [(c, -(-n // block_rows)) for c, n in counts.items()], "cell int, parts long"
-    )
-    blocks = keyed.join(F.broadcast(parts), "cell").withColumn(
-        "block", F.when(F.col("parts") == 1, 0).otherwise(F.pmod(F.xxhash64("rid"), F.col("parts"))).cast("long")
-    )
-    starts = blocks.groupBy("cell", "block").agg(F.count("*").alias("n"))
-    before = W.partitionBy("cell").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    starts = starts.select("cell", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = W.partitionBy("cell", "block").orderBy("h", "doc_id", "text_crc32", "size", "rid")
+    blocks = in_blocks(keyed, {c: -(-n // block_rows) for c, n in counts.items()}, block_rows)
+    starts = blocks.groupBy("cell", "block", "salt").agg(F.count("*").alias("n"))
+    before = W.partitionBy("cell").orderBy("block", "salt").rowsBetween(W.unboundedPreceding, -1)
+    starts = starts.select("cell", "block", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = W.partitionBy("cell", "block", "salt").orderBy("h", "doc_id", "text_crc32", "size", "rid")
     ranked = (
         blocks.withColumn("local", F.row_number().over(within).cast("long") - 1)
-        .join(starts, ["cell", "block"])
+        .join(starts, ["cell", "block", "salt"])
         .withColumn("rank", F.col("start") + F.col("local"))
     )
     found = ranked.join(F.broadcast(stretches), "cell").filter("rank >= lo and rank < hi")
     return found.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"))
 
 
+def in_blocks(keyed: DataFrame, parts: dict[int, int], block_rows: int) -> DataFrame:
+    """``keyed`` with block and salt: its place among the blocks of its cell, by its values; ``parts`` blocks a cell.
+
+    Rows alike in all values, where more than ``block_rows``, follow the other blocks of their cell and have one of
+    their own, in which the salt deals them by rid.
+    """
+    zero = F.lit(0).cast("long")
+    cut = [c for c, n in parts.items() if n > 1]
+    if not cut:
+        return keyed.withColumn("block", zero).withColumn("salt", zero)
+    mark = F.xxhash64("doc_id", "text_crc32", "size")
+    sizes = keyed.sparkSession.createDataFrame(list(parts.items()), "cell int, parts long")  # at most one row a cell
+    marked = keyed.join(F.broadcast(sizes), "cell").withColumn("mark", mark)
+    alike = marked.filter("parts > 1").groupBy("cell", "parts", "mark").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows)
+    alike = alike.withColumn("own", F.row_number().over(W.partitionBy("cell").orderBy("mark")).cast("long"))
+    alike = common.staged(alike.select("cell", "mark", (F.col("parts") + F.col("own")).alias("own"), F.ceil(F.col("n") / F.lit(block_rows)).alias("salts")), "alike")
+    dealt = marked.join(common.few(alike), ["cell", "mark"], "left")
+    return dealt.withColumn("block", F.coalesce("own", F.pmod("mark", "parts"))).withColumn("salt", F.coalesce(F.pmod(F.xxhash64("rid"), F.col("salts")), zero))
+
+
 def op3_shards(spark, sf_dir: str) -> DataFrame:
     """All documents into 16 shards whose row counts are at most one apart."""
     out = shard(common.table(spark, sf_dir, "documents"))
