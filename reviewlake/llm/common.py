@@ -85,12 +85,17 @@ def _clean() -> None:
             return
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers get at most so many rows at a time, whatever the session's larger setting: it bounds their memory
-    where texts are long. It changes no result."""
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Python workers get at most so many rows, and about so many bytes, at a time: it bounds their memory where texts
+    are long. It changes no result. The two settings stay in the session, since Spark reads them when a query runs and
+    not when it is made; smaller ones are left as they are."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now > size:
+        spark.conf.set(name, str(size))
 
 
 def documents(docs: DataFrame, *extra: str) -> DataFrame:
