@@ -231,11 +231,16 @@ CLAIM = "'call n3', 'processor charge', 'call n1', 'network call', 'external eff
 ACTIVE = "regexp_extract(t, '(\\b(?:rollback|roll back|rolls back|rolled back)\\b.{0,60}\\b(?:undo(?:es|ne)?|revert(?:s|ed)?|reverse[ds]?|cancel(?:s|led)?)\\b\\s+(?:(?:a|an|cited|external|likely|the|this|that)\\s+)*\\b' || p || '\\b)', 1)"
 
 
+PASSIVE_SQL = "regexp_matches(t, '\\b' || p || '\\b.{0,30}\\b(is|gets|got|was|will be|would be)\\s+(undone|reverted|reversed|cancell?ed)\\b.{0,30}\\b(rollback|roll back|rolls back|rolled back)\\b')"
+NEGATED_SQL = (
+    "regexp_matches(regexp_extract(rel, '^(.*?)\\b(?:undo(?:es|ne)?|revert(?:s|ed)?|reverse[ds]?|cancel(?:s|led)?)\\b', 1), "
+    "'\\b(cannot|cant|never|wont|not)(\\s+(actually|automatically|completely|directly|fully|itself|necessarily|possibly|reliably|able\\s+to|guaranteed\\s+to))?\\s*$')"
+)
+
+
 @query(
-    f"WITH {R_SQL}, t AS (SELECT review_id, reply_ord, {norm('raw_text')} AS t, unnest([{CLAIM}]) AS p FROM r), "
-    f"x AS (SELECT *, {ACTIVE} AS rel, regexp_matches(t, '\\b' || p || '\\b.{{0,30}}\\b(is|gets|got|was|will be|would be)\\s+(undone|reverted|reversed|cancell?ed)\\b.{{0,30}}\\b(rollback|roll back|rolls back|rolled back)\\b') AS pas FROM t) "
-    "SELECT review_id, reply_ord, bool_or(pas OR (rel <> '' AND NOT regexp_matches(regexp_extract(rel, '^(.*?)\\b(?:undo(?:es|ne)?|revert(?:s|ed)?|reverse[ds]?|cancel(?:s|led)?)\\b', 1), "
-    "'\\b(cannot|cant|never|wont|not)(\\s+(actually|automatically|completely|directly|fully|itself|necessarily|possibly|reliably|able\\s+to|guaranteed\\s+to))?\\s*$'))) AS conflict FROM x GROUP BY ALL"
+    f"WITH {R_SQL}, t AS (SELECT review_id, reply_ord, {norm('raw_text')} AS t, unnest([{CLAIM}]) AS p FROM r), x AS (SELECT *, {ACTIVE} AS rel FROM t) "
+    f"SELECT review_id, reply_ord, bool_or({PASSIVE_SQL} OR (rel <> '' AND NOT {NEGATED_SQL})) AS conflict FROM x GROUP BY ALL"
 )
 def rollback_conflict(spark, sf):
     claims = F.array(*[F.lit(c.strip(" '")) for c in CLAIM.split(",")])
@@ -289,11 +294,60 @@ def grade_evidence(spark, sf):
     return graded(spark, sf)[1].filter("question_id = 'evidence'").select("review_id", "label")
 
 
-@query()
+def _graded_sql() -> str:
+    """Whole assessments of the stand-in reviews. What a question cites goes first, then all else in the order of the
+    concepts: effects, symbols, calls, tests, files."""
+    all_ = [
+        ("database.transaction", "src/pay.py", "txn OR tx1"), ("processor.charge", "src/pay.py", "ch OR ext"), ("call.n3", "src/pay.py", "c3 OR ext"), ("handle3", "src/pay.py", "h3"),
+        ("handle5", "src/pay.py", "h5"), ("call.n2", "src/pay.py", "c2"), ("tests/test_pay.py", "tests/test_pay.py", "tp"), ("src/pay.py", "src/pay.py", "sp"),
+    ]
+    cited = {"behavior": ["handle3"], "failure": ["call.n3", "database.transaction", "processor.charge"], "evidence": ["handle5", "tests/test_pay.py"]}
+    lines = {
+        "behavior": ("Connect the behavior explanation directly to ", "."), "failure": ("Explain how ", " participates in the risk boundary."), "evidence": ("Tie the evidence explanation to ", "."),
+    }
+    strong = {"behavior": "h3 AND (txn OR tx1 OR ch OR ext OR c3 OR h5 OR c2)", "failure": "(c3 OR ext) AND (txn OR tx1) AND (ch OR ext) AND rec", "evidence": "h5 AND tp AND sup AND unc"}
+    more = {
+        "behavior": "CASE WHEN NOT (txn OR tx1 OR ch OR ext OR c3 OR h5 OR c2) THEN 'Add another concrete repository detail from the same changed area to explain how the surrounding flow is affected.' END",
+        "failure": "CASE WHEN NOT rec THEN 'Add the partial-completion, retry, recovery, or reconciliation implication for the cited boundaries.' END",
+        "evidence": "CASE WHEN NOT sup THEN 'State which changed behavior the cited test or code path supports.' END, CASE WHEN NOT unc THEN 'Name a specific important path that remains uncovered or unverified.' END",
+    }
+    named = lambda n, p: f"`{n}` in `{p}`"
+    joined = lambda items: "array_to_string(list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL), '|')"
+    parts = []
+    for category, own in cited.items():
+        of = {n: (p, hit) for n, p, hit in all_}
+        order = own + [n for n, _, _ in all_ if n not in own]
+        strengths = joined([f"CASE WHEN {of[n][1]} THEN 'Connects the answer to {named(n, of[n][0])}.' END" for n in order])
+        gaps = joined([f"CASE WHEN NOT ({of[n][1]}) THEN '{lines[category][0]}{named(n, of[n][0])}{lines[category][1]}' END" for n in own] + [more[category]])
+        evidence = joined([f"'{n}'" for n in own] + [f"CASE WHEN ({of[n][1]}) AND NOT unsure THEN '{n}' END" for n in order if n not in own])
+        gap = f"WHEN conflict THEN '{L.GAP}' " if category == "failure" else ""
+        parts.append(
+            f"SELECT review_id, '{category}' AS question_id, CASE WHEN unsure THEN '{L.UNCERTAIN}' {gap}WHEN {strong[category]} THEN '{L.STRONG}' ELSE '{L.PARTIAL}' END AS label, skipped, "
+            f"{strengths} AS s, {gaps} AS g, {evidence} AS evidence FROM z"
+        )
+    revisit = "Revisit the rollback claim: the cited local transaction boundary does not itself reverse the likely external operation, so partial completion still needs review preparation."
+    summary = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.SUMMARIES.items())
+    claims = "'call n3', 'processor charge', 'charge', 'network call', 'external effect', 'external operation'"
+    return (
+        GRADED + f", p AS (SELECT review_id, trim(t) AS t, unnest([{claims}]) AS p FROM g), x AS (SELECT review_id, t, p, {ACTIVE} AS rel FROM p), "
+        f"cf AS (SELECT review_id, bool_or({PASSIVE_SQL} OR (rel <> '' AND NOT {NEGATED_SQL})) AS conflict FROM x GROUP BY ALL), "
+        "w AS (SELECT g.*, conflict, contains(t, ' tests test pay py ') OR contains(t, ' test pay py ') OR contains(t, ' test pay ') AS tp, contains(t, ' src pay py ') OR contains(t, ' pay py ') AS sp FROM g JOIN cf USING (review_id)), "
+        "z AS (SELECT *, skipped OR NOT (anyhit OR tp OR sp) AS unsure FROM w), "
+        f"a AS ({' UNION ALL '.join(parts)}) "
+        f"SELECT review_id, question_id, label, CASE label {summary} END AS summary, CASE label WHEN '{L.UNCERTAIN}' THEN 'low' ELSE 'medium' END AS confidence, CASE label WHEN '{L.UNCERTAIN}' THEN '' ELSE s END AS strengths, "
+        f"CASE label WHEN '{L.UNCERTAIN}' THEN '' WHEN '{L.STRONG}' THEN '' WHEN '{L.GAP}' THEN '{revisit}' ELSE g END AS gaps, "
+        f"CASE WHEN label <> '{L.UNCERTAIN}' THEN '' WHEN skipped THEN 'The answer was skipped, so no comparison with repository evidence was made.' "
+        "ELSE 'The answer could not be matched responsibly to a repository concept in the available changed-file evidence.' END AS uncertainty_notes, evidence FROM a"
+    )
+
+
+@query(_graded_sql())
 def graded_assessments(spark, sf):
-    """Whole assessments with their texts; the labels have oracles of their own."""
+    """Whole assessments with their texts; lists as lines."""
     a = graded(spark, sf)[1]
-    return a.select("review_id", "question_id", "label", "summary", "confidence", "strengths", "gaps", "uncertainty_notes", F.transform("evidence", lambda e: e["symbol"]).alias("evidence"))
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    cited = F.array_join(F.transform("evidence", lambda e: F.coalesce(e["symbol"], e["file_path"])), "|").alias("evidence")
+    return a.select("review_id", "question_id", "label", "summary", "confidence", joined("strengths"), joined("gaps"), joined("uncertainty_notes"), cited)
 
 
 A_SQL = f"a AS ({duck(feeds.ASSESSMENTS)})"
@@ -379,24 +433,6 @@ def quote_lines(spark, sf):
     return feed(spark, sf, feeds.QA).select("review_id", "turn", report.quote(F.col("question")).alias("quoted"))
 
 
-@query("SELECT DISTINCT user_id::BIGINT AS review_id, CASE WHEN user_id % 3 = 0 THEN 'cli' WHEN user_id % 2 = 0 THEN 'cfg' END AS base, coalesce(CASE WHEN user_id % 5 = 0 THEN 1 END, CASE WHEN user_id % 2 = 0 THEN 2 END, 3)::INT AS questions FROM events")
-def option_resolution(spark, sf):
-    """Command over configuration over default, set-wise."""
-    u = feed(spark, sf, "SELECT DISTINCT CAST(user_id AS BIGINT) AS review_id FROM {events}")
-    r = F.col("review_id")
-    base = F.coalesce(F.when(r % 3 == 0, "cli"), F.when(r % 2 == 0, "cfg"))
-    return u.select("review_id", base.alias("base"), F.coalesce(F.when(r % 5 == 0, 1), F.when(r % 2 == 0, 2), F.lit(3)).alias("questions"))
-
-
-@query()
-def python_symbols(spark, sf):
-    """Symbols, imports and calls of Python sources through syntax trees; the sources are made from events."""
-    sql = "SELECT CAST(event_id AS BIGINT) AS review_id, 'src/m.py' AS path, 'import requests as r' || chr(10) || 'def f' || CAST(event_id % 9 AS STRING) || '(x):' || chr(10) || '    return r.post(x)' || chr(10) AS content FROM {events}"
-    src = feed(spark, sf, sql)
-    affected = src.select("review_id", "path", F.lit(3).alias("line"))
-    return extract.python_rows(src, affected)
-
-
 @query()
 def markdown_report(spark, sf):
     """The Markdown of the graded stand-in reviews."""
