@@ -1,9 +1,11 @@
 """Line dedup by site-relative frequency (DataFrame functions only).
 
 Within each host, a line's frequency is the number of pages that contain it over the number of pages of the host. Lines
-above ``ratio`` that stand on ``min_pages`` pages at least are boilerplate and dropped from the host's pages. A page
-all of whose lines are boilerplate is a copy, not a frame around something else: it stays as it is, for document-level
-dedup to judge. Blank lines are neither counted nor dropped.
+above ``ratio`` are boilerplate and dropped from the host's pages. Blank lines are neither counted nor dropped.
+
+Two rules may be added, and are where whole corpora are cleaned (``KEPT``): lines on fewer than ``min_pages`` pages are
+never dropped, since on a host of few pages any line is frequent; and with ``keep_whole`` a page all of whose lines are
+boilerplate stays as it is, since it is a copy and not a frame around something else, for document-level dedup to judge.
 
 How it scales: only hashes of lines are shuffled, summed before the shuffle, so a line or host that holds a third of
 all rows meets as partial counts. A host has at most (mean lines per page) / ratio boilerplate lines, whatever its
@@ -20,6 +22,9 @@ from . import common
 
 BLANK = " \t\n\x0b\x0c\r"
 
+#: What the query and the pipeline's stage pass.
+KEPT = {"ratio": 0.01, "min_pages": 5, "keep_whole": True}
+
 
 def _key(host: Column) -> Column:
     """Never null: pages without a host are a host of their own."""
@@ -35,7 +40,7 @@ def _mark(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h"), F.hash(line).alias("g"))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.01, min_pages: int = 1) -> DataFrame:
     """One row per host that has boilerplate: _host and _lines, an array of line marks; staged."""
     pages = docs.select(_key(F.col(host)).alias("_host"), F.col("text").alias("_text"))
     lines = F.filter(F.split("_text", "\n"), _word)
@@ -46,7 +51,7 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.05, min_
     return common.staged(frequent.groupBy("_host").agg(F.collect_list(F.struct("h", "g")).alias("_lines")), "boilerplate")
 
 
-def _cleaned(docs: DataFrame, host: str, ratio: float, min_pages: int) -> DataFrame:
+def _cleaned(docs: DataFrame, host: str, ratio: float, min_pages: int, keep_whole: bool) -> DataFrame:
     """_row (the columns of ``docs`` as a struct, so that none can clash), _text (what stays), _n and _dropped."""
     found = boilerplate(docs, host, ratio, min_pages)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
@@ -57,31 +62,34 @@ def _cleaned(docs: DataFrame, host: str, ratio: float, min_pages: int) -> DataFr
     n_kept = F.size(F.filter("_keep", _word))
     out = pages.withColumn("_n", F.coalesce(F.size(F.filter(lines, _word)), F.lit(0)))
     out = out.withColumn("_keep", F.when(F.col("_lines").isNotNull() & F.col("_old").isNotNull(), kept))
-    out = out.withColumn("_some", F.col("_keep").isNotNull() & (n_kept > 0) & (n_kept < F.col("_n")))
+    some = F.col("_keep").isNotNull() & (n_kept < F.col("_n"))
+    out = out.withColumn("_some", some & (n_kept > 0) if keep_whole else some)
     return out.select(
         "_row", "_n", F.when(F.col("_some"), F.array_join("_keep", "\n")).otherwise(F.col("_old")).alias("_text"),
         F.when(F.col("_some"), F.col("_n") - n_kept).otherwise(0).alias("_dropped"),
     )
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = 0.01, min_pages: int = 1, keep_whole: bool = False) -> DataFrame:
     """``docs`` with all its columns and rows, the boilerplate lines taken out of ``text``.
 
-    Null text stays null, empty text empty. A null host counts as one host. Repeated rows are pages of their own.
-    Frequencies equal to ``ratio`` are not above it.
+    Null text stays null, empty text empty. A null host counts as one host. Repeated rows are pages of their own, and a
+    line that repeats within a page counts once. Frequencies equal to ``ratio`` are not above it. Texts of any length
+    are cleaned whole. Without ``keep_whole`` a page that has only boilerplate is left with its blank lines, or empty.
     """
-    out = _cleaned(docs, host, ratio, min_pages)
+    out = _cleaned(docs, host, ratio, min_pages, keep_whole)
     return out.select(*[F.col("_text").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs)
+    """``docs`` with all columns and rows; lines above the ratio are out of the texts (``KEPT``, see ``dedup_lines``)."""
+    return dedup_lines(docs, **KEPT)
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """All documents by source, without the lines that more than 5 % of their source's documents share."""
+    """All documents by source, without the lines that more than 1 % of their source's documents share."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = _cleaned(docs, "source", 0.05, 5)
+    out = _cleaned(docs, "source", **KEPT)
     return out.select(
         "_row.doc_id", "_row.source", F.col("_n").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"),
         F.col("_text").alias("clean_text"),
@@ -97,7 +105,7 @@ l AS (
 f AS (
   SELECT source, line FROM (SELECT source, line, count(DISTINCT r) AS n FROM l WHERE word GROUP BY source, line)
   JOIN (SELECT source, count(*) AS pages FROM pages GROUP BY source) USING (source)
-  WHERE n >= 5 AND n > 0.05 * pages
+  WHERE n >= 5 AND n > 0.01 * pages
 ),
 m AS (SELECT l.*, f.line IS NOT NULL AND l.word AS boiler FROM l LEFT JOIN f ON l.source = f.source AND l.line = f.line),
 c AS (

@@ -111,7 +111,7 @@ def test_shingles_part_words_as_stated():
     assert len(minhash.shingles("a b c", 4)) == 1 and len(minhash.shingles("É é", 1)) == 2 and len(minhash.shingles("A a", 1)) == 1
 
 
-def brute_lines(rows, ratio, least):
+def brute_lines(rows, ratio, least, keep_whole=True):
     pages = collections.Counter(h for _, h, _ in rows)
     n = collections.Counter((h, x) for _, h, t in rows for x in set((t or "").split("\n")) if x.strip(" \t\n\x0b\x0c\r"))
     out = []
@@ -120,17 +120,20 @@ def brute_lines(rows, ratio, least):
         words = [x for x in lines if x.strip(" \t\n\x0b\x0c\r")]
         drop = {x for x in words if n[h, x] >= least and n[h, x] > ratio * pages[h]}
         left = [x for x in words if x not in drop]
-        out.append((i, t if t is None or not left else "\n".join(x for x in lines if x not in drop)))
+        whole = t is None or not drop or (keep_whole and not left)
+        out.append((i, t if whole else "\n".join(x for x in lines if x not in drop)))
     return sorted(out, key=repr)
 
 
 def test_line_dedup(spark):
     rows = [(i, "a" if i % 3 else None, f"menu\nbody {i}\n\n  \nfoot {i % 2}\nmenu") for i in range(40)] + [(90, "b", "menu\nx"), (91, "a", "menu\nmenu"), (92, "a", None), (93, "a", ""), (91, "a", "menu\nmenu")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("_n", F.lit(1)).withColumn("_host", F.lit("h")).withColumn("a.b", F.lit("clash"))
-    for ratio, least in ((0.3, 3), (0.6, 1), (1.0, 1)):
-        got = linedup.dedup_lines(df, ratio=ratio, min_pages=least)
+    rows.append((94, "long", "\n".join(f"line {i % 2000}" for i in range(50_000))))
+    df = df.unionByName(spark.createDataFrame(rows[-1:], "doc_id long, source string, text string").withColumn("_n", F.lit(1)).withColumn("_host", F.lit("h")).withColumn("a.b", F.lit("clash")))
+    for ratio, least, whole in ((0.3, 3, True), (0.6, 1, True), (1.0, 1, False), (0.3, 3, False), (0.01, 1, False)):
+        got = linedup.dedup_lines(df, ratio=ratio, min_pages=least, keep_whole=whole)
         assert got.columns == df.columns
-        assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == brute_lines(rows, ratio, least)
+        assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == brute_lines(rows, ratio, least, whole)
     assert linedup.dedup_lines(df.limit(0)).count() == 0
 
 
@@ -442,7 +445,7 @@ def test_pipeline(spark):
     clean = [r for r in before if not said(r["text"])]
     assert all(r["doc_id"] not in kept for r in before if len(said(r["text"])) >= 2) and sum(r["doc_id"] in kept for r in clean) > 0.9 * len(clean)
     before, after = seen["line_dedup"]
-    assert sorted(((r["doc_id"], r["text"]) for r in after), key=repr) == brute_lines([(r["doc_id"], r["source"], r["text"]) for r in before], 0.05, 5)
+    assert sorted(((r["doc_id"], r["text"]) for r in after), key=repr) == brute_lines([(r["doc_id"], r["source"], r["text"]) for r in before], 0.01, 5)
     before, after = seen["near_dedup"]
     want = brute_components([(r["doc_id"], r["text"]) for r in before], 5)
     assert sorted(r["doc_id"] for r in after) == sorted(i for i, c in want.items() if i == c)
