@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages, each of which takes (spark, docs, sf_dir) and returns a DataFrame.
 
 1. toxicity: documents that the classifier rejects go
-2. line_dedup: lines that more than 5 % of a source's documents share go from their texts
+2. line_dedup: lines that more than 1 % of a source's documents share go from their texts
 3. near_dedup: of each group of near copies the document with the least doc_id stays
 4. decontamination: documents that contain a benchmark item go
 5. bpe: the token ids of every document, and digests of ids and decoded text
