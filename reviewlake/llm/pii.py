@@ -2,13 +2,14 @@
 
 The field is trained on the driver from the few dozen rows of ``pii_examples``: the score of a tag is a sum of
 weights for the word shapes of the token and of two tokens on either side, plus one for the step from the tag before.
-It runs over stretches of text around every digit and @ sign (48 code points to each side, within a line), since no
-kind of personal data here is without one; stretches that touch are joined, so texts are covered whole. Stretches of
-a batch are decoded together: Viterbi's steps are numpy operations over all of them.
+It runs over every line of every text, from end to end, but for lines without a digit or an @ sign: no span of any
+kind is without one, so nothing could come of them. Lines of a batch are decoded together: Viterbi's steps are numpy
+operations over all of them.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -21,7 +22,6 @@ from . import common, pii_examples
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
-AROUND = 48
 REACH = 2
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -31,7 +31,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIALLED = re.compile(r"\+?\(?[0-9][\x20().0-9-]*[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[0-9@]+")
+TRIGGER = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 #: Words whose presence nearby says something; every other word is only a shape.
 CUES = frozenset(
@@ -92,6 +92,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _common_shape(token: str, spaced: bool) -> str:
+    return shape(token, spaced)
+
+
 def shape(token: str, spaced: bool) -> str:
     """The class of a token: cue word, letters by case and length, digits by number and range, or the sign itself."""
     c = token[0]
@@ -113,7 +118,7 @@ def tokens(text: str, lo: int = 0, hi: int | None = None) -> tuple[list[str], li
     found = [m.span() for m in TOKEN.finditer(text, lo, len(text) if hi is None else hi)]
     shapes, last = [], lo
     for a, b in found:
-        shapes.append(shape(text[a:b], a > last))
+        shapes.append((_common_shape if b - a <= 24 else shape)(text[a:b], a > last))
         last = b
     return shapes, found
 
@@ -225,20 +230,14 @@ class Field:
         return out
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Where the field is run: around every digit or @, within its line, joined where they touch."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        if out and m.end() <= out[-1][1] - AROUND:
-            continue
-        lo = max(m.start() - AROUND, text.rfind("\n", max(0, m.start() - AROUND), m.start()) + 1)
-        cut = text.find("\n", m.end(), m.end() + AROUND)
-        hi = cut if cut >= 0 else min(len(text), m.end() + AROUND)
-        if out and lo <= out[-1][1]:
-            out[-1][1] = hi
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
+def lines(text: str) -> list[tuple[int, int]]:
+    """Where the field is run: the lines with a digit or an @ sign."""
+    out, at = [], 0
+    while m := TRIGGER.search(text, at):
+        lo, hi = text.rfind("\n", at, m.start()) + 1, text.find("\n", m.end())
+        at = len(text) if hi < 0 else hi
+        out.append((lo, at))
+    return out
 
 
 def added(kind: str, s: str) -> bool:
@@ -257,7 +256,7 @@ def tag(field: Field, texts: list[str]) -> list[tuple[list, list]]:
     base = [base_spans(t) for t in texts]
     rows, owner = [], []
     for i, t in enumerate(texts):
-        for lo, hi in stretches(t):
+        for lo, hi in lines(t):
             shapes, at = tokens(t, lo, hi)
             rows.append(shapes)
             owner.append((i, at))
@@ -283,7 +282,8 @@ def joined(spans) -> str:
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, the number of base spans of each kind, base_sha256 and all spans, for every row. No shuffle.
 
-    Null or empty text: no spans. Repeated rows come back repeated; a null doc_id stays null.
+    Null or empty text: no spans. Repeated rows come back repeated; a null doc_id stays null. Very long texts are read
+    whole. Further columns are not looked at. Of equally good tag sequences the one of lower tags counts.
     """
     field = field or Field()
 
