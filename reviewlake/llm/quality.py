@@ -3,8 +3,10 @@
 The statistics of all documents are computed once and staged. The forest grows on the driver from the good rows of a
 bounded sample of labelled rows (``most_fit``, ``tree_rows`` and ``n_trees`` are its bounds): each tree splits a random
 feature at a random place until rows stand alone, and a row that few splits isolate is anomalous. The threshold is
-calibrated on all rows of that sample: it is the score with the largest share of bad rows rejected, less ``penalty``
-times the share of good rows rejected, which stays sound when some labels are wrong. All documents are held to it.
+calibrated on all labelled rows but those that may have grown the forest: it is the score with the largest share of bad
+rows rejected, less ``penalty`` times the share of good rows rejected, which stays sound when some labels are wrong.
+What the driver sees of these rows is how many of each label have a score, in ``BINS`` steps. All documents are held to
+the threshold.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ WORDS = re.compile(common.WORD).findall
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
 FEATURES = ("word_len", "symbols", "symbol_words", "dup_lines", "repeats", "upper", "bangs", "pipes", "sameness", "run")
+BINS = 10_000
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -136,9 +139,9 @@ class Forest:
 
 
 class Judge:
-    """The forest with the scaling of its features and its threshold."""
+    """The forest with the scaling of its features; its threshold is set by ``calibrate``."""
 
-    def __init__(self, good: np.ndarray, x: np.ndarray, y: np.ndarray, penalty: float):
+    def __init__(self, good: np.ndarray):
         # features are ratios that pile up at one value; a jitter as wide as their usual spread lets splits fall
         # outside the pile, so that rows far from it are isolated early
         self.mid = np.median(good, axis=0) if len(good) else np.zeros(len(FEATURES))
@@ -147,13 +150,6 @@ class Judge:
         wide = np.random.default_rng(11).uniform(-1, 1, good.shape) if len(good) else good
         self.forest = Forest(self._scaled(good) + wide)
         self.threshold = 1.0
-        s = self.score(x)
-        bad, fine = s[y == 0], s[y == 1]
-        if len(bad) and len(fine):
-            places = np.unique(np.concatenate([bad, fine]))
-            caught = 1 - np.searchsorted(np.sort(bad), places, side="right") / len(bad)
-            wrong = 1 - np.searchsorted(np.sort(fine), places, side="right") / len(fine)
-            self.threshold = float(places[np.argmax(caught - penalty * wrong)])
 
     def _scaled(self, x: np.ndarray) -> np.ndarray:
         """Spreads above the median of good rows; what lies below it is as good as the median."""
@@ -162,47 +158,60 @@ class Judge:
     def score(self, x: np.ndarray) -> np.ndarray:
         return self.forest.score(self._scaled(x)) if len(x) else np.zeros(0)
 
+    def calibrate(self, bins: np.ndarray, bad: np.ndarray, fine: np.ndarray, penalty: float) -> None:
+        """Sets the threshold from the rows of either label in each bin of scores; a bin stands for its upper end."""
+        if not bad.sum() or not fine.sum():
+            return
+        order = np.argsort(bins)
+        caught, wrong = 1 - np.cumsum(bad[order]) / bad.sum(), 1 - np.cumsum(fine[order]) / fine.sum()
+        self.threshold = float((bins[order][np.argmax(caught - penalty * wrong)] + 1) / BINS)
 
-def labelled(measured: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """A bounded sample of labelled rows, by the order of a hash of doc_id: x and quality, at most ``most`` rows."""
-    first = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-        .dropna()
-        .groupBy("doc_id")
-        .agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
-    )
-    return measured.join(F.broadcast(first), "doc_id").select("doc_id", "x", "quality", "base_failed")
+
+def known(labels: DataFrame) -> DataFrame:
+    """doc_id and quality of every label, once: bad if any row says so."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
+    return rows.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+
+
+def anomaly_of(model: Judge):
+    """Scores of an array of features."""
+
+    @F.pandas_udf("double")
+    def anomaly(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array(x.tolist(), dtype=float).reshape(-1, len(FEATURES))))
+
+    return anomaly
 
 
-def fit(measured: DataFrame, labels: DataFrame, most_fit: int = 20_000, penalty: float = 12.0) -> Judge:
-    """Grows and calibrates on at most ``most_fit`` labelled rows: half of the good ones grow, all calibrate."""
-    rows = labelled(measured, labels, most_fit).filter("not base_failed").select("doc_id", "x", "quality").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    x = np.array(rows["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
-    y = rows["quality"].to_numpy(dtype=int)
-    good = x[y == 1]
-    return Judge(good[::2], x, y, penalty)
+def fit(measured: DataFrame, labels: DataFrame, most_fit: int = 10_000, penalty: float = 12.0) -> Judge:
+    """Grows on at most ``most_fit`` good rows, those with the least hash of doc_id, half of the good rows at most; all
+    other labelled rows calibrate."""
+    rows = measured.filter("not base_failed").join(known(labels), "doc_id").withColumn("_h", F.xxhash64("doc_id"))
+    may_grow = (F.col("quality") == 1) & (F.pmod("_h", F.lit(2)) == 0)
+    rows = common.staged(rows.select("doc_id", "x", "quality", "_h", may_grow.alias("may_grow")), "labelled")
+    grow = rows.filter("may_grow").orderBy("_h", "doc_id", "x").limit(most_fit).toPandas()
+    model = Judge(np.array(grow["x"].tolist(), dtype=float).reshape(-1, len(FEATURES)))
+    last = grow["_h"].max() if len(grow) == most_fit else None
+    rest = rows.filter("not may_grow" + ("" if last is None else f" or _h > {last}"))
+    at = F.least(F.floor(anomaly_of(model)("x") * BINS), F.lit(BINS - 1)).alias("bin")
+    counts = rest.select(at, "quality").groupBy("bin").agg(F.sum((F.col("quality") == 0).cast("long")).alias("bad"), F.sum((F.col("quality") == 1).cast("long")).alias("fine")).toPandas()
+    common.drop(rows)
+    model.calibrate(*(counts[c].to_numpy(dtype=float) for c in ("bin", "bad", "fine")), penalty)
+    return model
 
 
 def judge(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """doc_id, the counts, base_failed, anomaly and kept of every row.
 
     Null or empty text: no words, so base_failed. Repeated rows come back repeated. Without usable labels the
-    threshold is 1 and only the hard rules reject. The statistics are staged, so texts are read once.
+    threshold is 1 and only the hard rules reject. The statistics are staged, so texts are read once, and whole.
+    Scores equal to the threshold are kept. Further columns are not looked at.
     """
     measured = common.staged(measure(docs), "quality")
     model = fit(measured, labels, **bounds)
-    threshold = model.threshold
-
-    @F.pandas_udf("double")
-    def anomaly(x: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array(x.tolist(), dtype=float).reshape(-1, len(FEATURES))))
-
     return (
-        measured.withColumn("anomaly", anomaly("x"))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(threshold)))
+        measured.withColumn("anomaly", anomaly_of(model)("x"))
+        .withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(model.threshold)))
         .drop("x")
     )
 
