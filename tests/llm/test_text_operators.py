@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from reviewlake.llm import bpe, common, pii, quality, token_count, toxicity
@@ -148,6 +149,79 @@ def test_pii_table(spark, odd, field):
     assert pii.find(odd.limit(0), field).count() == 0
 
 
+def test_lines_without_triggers_give_nothing(spark, field):
+    """Whole texts, every line decoded alone, give what the query gives."""
+    every = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    every += [planted_text(np.random.default_rng(i))[0] for i in range(60)]
+    for text, (base, more) in zip(every, pii.tag(field, every), strict=True):
+        want, start = [], 0
+        for line in text.split("\n"):
+            shapes, at = pii.tokens(line)
+            path = field.viterbi([shapes])[0] if shapes else []
+            k = 0
+            while k < len(path):
+                name, j = pii.TAGS[path[k]], k + 1
+                while name != "O" and j < len(path) and pii.TAGS[path[j]] == "I-" + name[2:]:
+                    j += 1
+                a, b = at[k][0], at[j - 1][1]
+                if name != "O" and pii.added(name[2:], line[a:b]) and all(start + b <= s or e <= start + a for _, s, e in base):
+                    want.append((name[2:], start + a, start + b))
+                k = j
+            start += len(line) + 1
+        assert more == want
+
+
+def test_viterbi_like_trying_all_tags(field):
+    """The best sequence scores as high as the best of all sequences of four tokens."""
+    from itertools import product
+
+    step, n = field.step + field.allowed, len(pii.TAGS)
+    for text in ("call (212) 5", "a@b.c", "+49 30 x", "10.0.0.1", "4111 1111 -"):
+        shapes = pii.tokens(text)[0][:4]
+        x, _ = pii._padded([[field.ids.get(s, field.unknown) for s in shapes]], field.pad)
+        e = field._emit(x)[0]
+        score = lambda y, e=e: step[n, y[0]] + sum(e[i, t] for i, t in enumerate(y)) + sum(step[a, b] for a, b in zip(y, y[1:]))
+        best = max(map(score, product(range(n), repeat=len(shapes))))
+        assert abs(score([int(t) for t in field.viterbi([shapes])[0]]) - best) < 1e-9
+
+
+WORDY = "the river was low and nobody came before winter so they left early with what little there was".split()
+
+
+def planted_text(rng):
+    """A text with phones in shapes that no fixed pattern has, and numbers that are none: (text, [(start, end)])."""
+    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    yes = [lambda: f"({rng.integers(2, 10)}{d(2)}) {d(3)}-{d(4)}", lambda: f"{rng.integers(2, 10)}{d(2)}-{d(3)}-{d(4)}", lambda: f"{rng.integers(2, 10)}{d(2)}.{d(3)}.{d(4)}"]
+    no = [
+        lambda: f"{rng.integers(1900, 2030)}", lambda: f"{rng.integers(1, 400)} of {rng.integers(400, 900)}", lambda: f"{rng.integers(1990, 2030)}-0{rng.integers(1, 10)}-1{d(1)}",
+        lambda: f"version {rng.integers(1, 9)}.{rng.integers(0, 20)}", lambda: f"pages {rng.integers(1, 99)}-{rng.integers(100, 300)}", lambda: f"{d(1)},{d(3)}.{d(2)}",
+        lambda: f"order {rng.integers(1, 9)}{d(5)}", lambda: f"{rng.integers(10, 23)}:{rng.integers(10, 59)}",
+    ]
+    parts, at, spans = [], 0, []
+    for i in range(12):
+        words = " ".join(rng.choice(WORDY, int(rng.integers(2, 9))))
+        kind = rng.choice(4)
+        thing = rng.choice(yes)() if kind == 0 else rng.choice(no)() if kind < 3 else str(rng.choice(WORDY))
+        piece = words + " " + thing + ("\n" if rng.random() < 0.2 else " ")
+        if kind == 0:
+            spans.append((at + len(words) + 1, at + len(words) + 1 + len(thing)))
+        parts.append(piece)
+        at += len(piece)
+    return "".join(parts), spans
+
+
+def test_added_spans_on_planted_shapes(field):
+    """Recall and precision of what the field adds, on contexts and numbers that it has not been trained on."""
+    rng = np.random.default_rng(17)
+    made = [planted_text(rng) for _ in range(400)]
+    hit = n_want = n_got = 0
+    for (_, want), (_, more) in zip(made, pii.tag(field, [t for t, _ in made]), strict=True):
+        got = {(a, b) for k, a, b in more if k == "phone"}
+        hit, n_want, n_got = hit + len(got & set(want)), n_want + len(want), n_got + len(more)
+    print(f"recall {hit / n_want:.3f} precision {hit / n_got:.3f} of {n_want}")
+    assert n_want > 1000 and hit / n_want > 0.9 and hit / n_got > 0.9
+
+
 def brute_repeats(words, w=8):
     seen = {}
     for i in range(len(words) - w + 1):
@@ -235,3 +309,76 @@ def test_results_do_not_depend_on_batches(spark, texts):
     one = token_count.count_tokens(df.repartition(1), BYTE).toPandas().sort_values("doc_id").reset_index(drop=True)
     many = token_count.count_tokens(df.repartition(7), BYTE).toPandas().sort_values("doc_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(one, many)
+
+
+def everything(spark):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_op4_row_by_row(spark):
+    got, texts = pii.op4_pii(spark, SF).collect(), everything(spark)
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        base = brute_spans(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in PATTERNS] == [sum(s[0] == k for s in base) for k in PATTERNS]
+        assert r["base_sha256"] == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        spans = [x.split(":") for x in r["spans"].split(",") if x]
+        assert {tuple(map(str, s)) for s in base} <= set(map(tuple, spans)) and len(spans) == len(base) + r["n_added"]
+
+
+def test_op6_row_by_row(spark):
+    got, texts = quality.op6_quality(spark, SF).collect(), everything(spark)
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    space = " \t\n\x0b\x0c\r"
+    for r in got:
+        t = texts[r["doc_id"]]
+        words = [w for w in re.split(f"[{space}]+", t) if w]
+        lines = [x for x in t.split("\n") if x.strip(space)]
+        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), brute_repeats(words))
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (len(words) < 20 or 100 * want[4] > 30 * len(words)) and not (r["base_failed"] and r["kept"])
+    fine = [r for r in got if not r["base_failed"]]
+    assert max(r["anomaly"] for r in fine if r["kept"]) < min([r["anomaly"] for r in fine if not r["kept"]] or [2])
+
+
+def test_op7_row_by_row(spark):
+    t = Tokenizer.from_file(BYTE)
+    got, texts = token_count.op7_token_counts(spark, SF).collect(), everything(spark)
+    want = {i: (len(x.encode()), len(t.encode(x, add_special_tokens=False).ids)) for i, x in texts.items()}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in got} == want and len(got) == len(want)
+    assert all(r["over_limit"] == (r["n_tokens"] > 1024) for r in got)
+
+
+def test_op9_row_by_row(spark):
+    t = Tokenizer.from_file(WORD)
+    got, texts = bpe.op9_bpe(spark, SF).collect(), everything(spark)
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        ids = t.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(array("I", ids).tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_op10_row_by_row(spark):
+    """Every row scored; neither held-out labels nor any column but the text is an input of a score."""
+    import zlib
+
+    got, texts = toxicity.op10_toxicity(spark, SF).collect(), everything(spark)
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    held = common.held_out(labels["doc_id"])
+    turned = labels.withColumn("toxic", F.when(held, 1 - labels["toxic"]).otherwise(labels["toxic"]))
+    other = docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit("s")).withColumn("n_chars", F.lit(1))
+    assert {r["doc_id"]: round(r["score"], 9) for r in toxicity.score(other, turned).collect()} == {r["doc_id"]: round(r["score"], 9) for r in got}
+
+
+def test_very_long_texts(spark, field):
+    long = "\n".join(f"word{i % 700} call (212) 555-01{i % 90 + 10} in {i}" for i in range(20_000))
+    df = table(spark, [long, "x"])
+    t, u = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    assert token_count.count_tokens(df, BYTE).orderBy("doc_id").first()["n_tokens"] == len(t.encode(long, add_special_tokens=False).ids)
+    assert bpe.digests(df, WORD).orderBy("doc_id").first()["n_tokens"] == len(u.encode(long, add_special_tokens=False).ids)
+    assert pii.find(df, field).orderBy("doc_id").first()["n_added"] == 20_000
+    assert quality.measure(df).orderBy("doc_id").first()["n_words"] == 120_000
