@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,7 +22,9 @@ def ship(spark: SparkSession) -> None:
     if app in _done:
         return
     package = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="reviewlake-py-"), "reviewlake.zip")
+    folder = tempfile.mkdtemp(prefix="reviewlake-py-")  # the driver serves the file from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder, "reviewlake.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f"{package.name}/{f.relative_to(package)}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,20 @@ def mentions(spaced: Column, found: Column) -> Column:
     return F.exists(found, lambda p: spaced.contains(padded(p)))
 
 
+def filled(template: str, **values: Column) -> Column:
+    """A sentence with columns in place of its {names}; null if one of them is."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
+
+
+def chosen(key: Column, texts: dict[str, Column], other: Column) -> Column:
+    """The text of a key, or the other one."""
+    out = None
+    for k, v in texts.items():
+        out = F.when(key == k, v) if out is None else out.when(key == k, v)
+    return out.otherwise(other)
+
+
 def json_quoted(c: Column) -> Column:
     """A JSON string with everything but printable ASCII escaped."""
     plain = F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))

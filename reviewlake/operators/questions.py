@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..functions import wording as W
 from .effects import citation
 
 
@@ -64,15 +65,9 @@ def partial_success(valid: DataFrame) -> DataFrame:
 
 
 def behavior_prompt(status: Column, area: Column) -> tuple[Column, Column]:
-    say = lambda before, after: F.concat(F.lit(before), area, F.lit(after))
-    prompt = (
-        F.when(status == "deleted", say("What behavior does removing ", " eliminate, and how does that affect the surrounding flow?"))
-        .when(status == "added", say("What behavior does ", " introduce, and how does it affect the surrounding flow?"))
-        .when(status == "renamed", say("What behavior, if any, changes when ", " is renamed, and how does the move affect the surrounding flow?"))
-        .otherwise(say("What behavior does ", " modify, and how does it affect the surrounding flow?"))
-    )
-    verb = F.when(status == "deleted", "removes").when(status == "added", "adds").when(status == "renamed", "renames").otherwise("modifies")
-    return prompt, F.concat(F.lit("The branch "), verb, F.lit(" "), area, F.lit("."))
+    prompt = T.chosen(status, {k: T.filled(v, area=area) for k, v in W.BEHAVIOR.items()}, T.filled(W.BEHAVIOR_ELSE, area=area))
+    verb = T.chosen(status, {k: F.lit(v) for k, v in W.VERBS.items()}, F.lit(W.VERB_ELSE))
+    return prompt, T.filled(W.BEHAVIOR_WHY, verb=verb, area=area)
 
 
 def _rows(df: DataFrame, i: int, name: str, prompt: Column, rationale: Column, refs: Column) -> DataFrame:
@@ -91,24 +86,17 @@ def generate(files: DataFrame, usable: DataFrame, symbols: DataFrame, effects: D
     behavior = _rows(p, 0, "behavior", prompt, why, F.array("ref"))
     first = valid.groupBy("review_id").agg(F.min(F.struct("effect_ord", "cite_ord", "kind", "c")).alias("f")).select("review_id", F.col("f.kind").alias("kind"), F.col("f.c").alias("c"))
     f = p.join(partial_success(valid), "review_id", "left").join(first, "review_id", "left")
-    pair = F.concat(
-        F.lit("If the likely "), F.col("ext_kind"), F.lit(" at "), citation_area(F.col("ext")), F.lit(f" succeeds but the {L.TRANSACTION} at "), citation_area(F.col("txn")),
-        F.lit(" does not complete, what state can remain, and how does "), area, F.lit(" handle retry or recovery?"),
-    )
-    pair_why = F.concat(F.lit("The branch has both "), F.col("ext_kind"), F.lit(f" and {L.TRANSACTION} signals, so partial success may cross a rollback boundary."))
-    one = F.concat(F.lit("The branch contains a likely "), F.col("kind"), F.lit(" at "), citation_area(F.col("c")), F.lit(". What failure mode matters most, and how should the changed flow account for it?"))
-    one_why = F.concat(F.lit("The changed code contains a repository-backed "), F.col("kind"), F.lit(" signal."))
-    none = F.concat(F.lit("What failure mode is most important for "), area, F.lit(", and how does the changed code handle it?"))
-    none_why = F.concat(F.lit("Reasoning about failure behavior is necessary for the change in "), area, F.lit("."))
+    kind = {"kind": F.col("ext_kind"), "effect": citation_area(F.col("ext")), "transaction": citation_area(F.col("txn")), "area": area}
+    pair, pair_why = T.filled(W.FAILURE_PAIR, **kind), T.filled(W.FAILURE_PAIR_WHY, **kind)
+    one, one_why = T.filled(W.FAILURE_ONE, kind=F.col("kind"), effect=citation_area(F.col("c"))), T.filled(W.FAILURE_ONE_WHY, kind=F.col("kind"))
+    none, none_why = T.filled(W.FAILURE_NONE, area=area), T.filled(W.FAILURE_NONE_WHY, area=area)
     refs = F.when(F.col("ext_kind").isNotNull(), F.array("ext", "txn")).when(F.col("kind").isNotNull(), F.array("c")).otherwise(F.array("ref"))
     failure = _rows(f, 1, "failure", F.coalesce(pair, one, none), F.coalesce(pair_why, one_why, none_why), refs)
     test = usable.filter("is_test").groupBy("review_id").agg(F.min_by("path", "file_ord").alias("test"))
     e = p.join(test, "review_id", "left")
     quoted = T.json_quoted(F.col("test"))
-    with_test = F.concat(F.lit("What evidence, if any, does "), quoted, F.lit(" provide for the behavior of "), area, F.lit(", and which important path remains unverified?"))
-    with_why = F.concat(F.lit("The branch changes both "), area, F.lit(" and "), quoted, F.lit("; their relationship should be established from repository evidence."))
-    without = F.concat(F.lit("Which test, invariant, or code path provides the strongest evidence that "), area, F.lit(" behaves as intended?"))
-    without_why = F.concat(F.lit("The intended behavior of "), area, F.lit(" should be supported by repository evidence."))
+    with_test, with_why = (T.filled(t, test=quoted, area=area) for t in (W.EVIDENCE_TEST, W.EVIDENCE_TEST_WHY))
+    without, without_why = (T.filled(t, area=area) for t in (W.EVIDENCE_NONE, W.EVIDENCE_NONE_WHY))
     refs = F.when(F.col("test").isNotNull(), F.array("ref", citation("test", F.col("test")))).otherwise(F.array("ref"))
     evidence = _rows(e, 2, "evidence", F.coalesce(with_test, without), F.when(F.col("test").isNotNull(), with_why).otherwise(without_why), refs)
     return behavior.unionByName(failure).unionByName(evidence)
@@ -118,5 +106,5 @@ def first_questions(questions: DataFrame, n: int = 3) -> DataFrame:
     """The first n questions of every review."""
     if not 1 <= n <= 3:
         raise ValueError("one to three questions can be asked")
-    order = W.partitionBy("review_id").orderBy("question_ord")
+    order = Window.partitionBy("review_id").orderBy("question_ord")
     return questions.withColumn("_p", F.row_number().over(order)).filter(F.col("_p") <= n).drop("_p")

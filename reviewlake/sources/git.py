@@ -173,39 +173,81 @@ def split_output(data: bytes, most_metadata: int = L.METADATA_BYTES) -> tuple[by
     return meta, list(read_patches([rest]))
 
 
-def read_source(root: str, revision: str, path: str, working_tree: bool, most: int = L.SOURCE_BYTES) -> tuple[str | None, str | None]:
-    """(content, note): one of them. Links, other special files and large files are not read."""
+def _notes(path: str, most: int) -> tuple[str, str, str, str]:
+    """What is said of a source that is large, special, missing, or no text."""
     quoted = json.dumps(path)
-    large = f"Skipped source analysis for {quoted} because it exceeds {most:,} bytes."
-    special = f"Skipped source analysis for {quoted} because it is not a regular file."
-    if working_tree:
-        full = Path(root, path)
-        if not full.resolve().is_relative_to(Path(root).resolve()) or full.is_symlink():
-            return None, special
-        try:
-            s = full.stat()
-        except OSError:
-            return None, f"Source for {quoted} was unavailable."
-        if not stat.S_ISREG(s.st_mode):
-            return None, special
-        if s.st_size > most:
-            return None, large
-        data = full.read_bytes()
-    else:
-        entry = git(root, "ls-tree", "-z", revision, "--", path)
-        if not entry:
-            return None, f"Source for {quoted} was unavailable."
-        mode, kind, rest = entry.split(b"\0")[0].split(b" ", 2)
-        if kind != b"blob" or not mode.startswith(b"100"):
-            return None, special
-        blob = _text(rest.split(b"\t")[0])
-        if int(git(root, "cat-file", "-s", blob)) > most:
-            return None, large
-        data = git(root, "cat-file", "blob", blob)
+    return (
+        f"Skipped source analysis for {quoted} because it exceeds {most:,} bytes.", f"Skipped source analysis for {quoted} because it is not a regular file.",
+        f"Source for {quoted} was unavailable.", f"Source for {quoted} is not UTF-8 text.",
+    )
+
+
+def _decoded(data: bytes, not_text: str) -> tuple[str | None, str | None]:
     try:
         return data.decode("utf-8"), None
     except UnicodeDecodeError:
-        return None, f"Source for {quoted} is not UTF-8 text."
+        return None, not_text
+
+
+def read_working(root: str, path: str, most: int = L.SOURCE_BYTES) -> tuple[str | None, str | None]:
+    """(content, note) of a file of the working tree: one of them."""
+    large, special, missing, not_text = _notes(path, most)
+    full = Path(root, path)
+    if not full.resolve().is_relative_to(Path(root).resolve()) or full.is_symlink():
+        return None, special
+    try:
+        s = full.stat()
+    except OSError:
+        return None, missing
+    if not stat.S_ISREG(s.st_mode):
+        return None, special
+    return (None, large) if s.st_size > most else _decoded(full.read_bytes(), not_text)
+
+
+def read_revision(root: str, revision: str, paths: list[str], most: int = L.SOURCE_BYTES, at_once: int = 500) -> Iterator[tuple[str, str | None, str | None]]:
+    """(path, content, note) of files of a revision. Links, other special files and large files are not read.
+
+    However many the files, one process lists some hundreds of them and one reads all; one file is held at a time.
+    """
+    found: dict[str, list[bytes]] = {}
+    for i in range(0, len(paths), at_once):
+        for entry in git(root, "ls-tree", "-z", "-l", revision, "--", *paths[i : i + at_once]).split(b"\0"):
+            head, sep, name = entry.partition(b"\t")
+            if sep:
+                found[_text(name)] = head.split()  # mode, kind, object, size
+    env = os.environ | {"LC_ALL": "C", "LANG": "C", "GIT_OPTIONAL_LOCKS": "0"}
+    reader = subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env=env)
+    try:
+        for path in paths:
+            large, special, missing, not_text = _notes(path, most)
+            entry = found.get(path)
+            if entry is None:
+                yield path, None, missing
+            elif entry[1] != b"blob" or not entry[0].startswith(b"100"):
+                yield path, None, special
+            elif int(entry[3]) > most:
+                yield path, None, large
+            else:
+                reader.stdin.write(entry[2] + b"\n")
+                reader.stdin.flush()
+                answer = reader.stdout.readline().split()
+                if len(answer) != 3:
+                    raise GitFailed("`git cat-file` failed.", "See the details.", _text(b" ".join(answer)))
+                data = reader.stdout.read(int(answer[2]))
+                reader.stdout.read(1)
+                yield path, *_decoded(data, not_text)
+    finally:
+        reader.stdin.close()
+        reader.kill()
+        reader.wait()
+        reader.stdout.close()
+
+
+def read_source(root: str, revision: str, path: str, working_tree: bool, most: int = L.SOURCE_BYTES) -> tuple[str | None, str | None]:
+    """(content, note) of one file: one of them."""
+    if working_tree:
+        return read_working(root, path, most)
+    return next(read_revision(root, revision, [path], most))[1:]
 
 
 def collect(repo: Repo, table: str, wanted: frozenset[int] | None = None):
@@ -233,12 +275,13 @@ def collect(repo: Repo, table: str, wanted: frozenset[int] | None = None):
         return
     # without patches the metadata is all there is, each path ended by a NUL
     meta, _ = read_metadata(chain(streamed(root, "diff", "--raw", "-z", *how, *ends, "--"), [b"\0"]))
-    for i, (path, old, status) in enumerate(parse_metadata(meta)):
-        if table == "files":
-            yield repo.review_id, i, path, old, status, None
-        elif status != "deleted" and Path(path).suffix.lower() in L.LANGUAGE_OF_SUFFIX and L.LANGUAGE_OF_SUFFIX[Path(path).suffix.lower()] in L.EXTRACTOR_LANGUAGES:
-            content, note = read_source(root, revision, path, repo.include_uncommitted)
-            yield repo.review_id, path, content, note
+    listed = parse_metadata(meta)
+    if table == "files":
+        yield from ((repo.review_id, i, path, old, status, None) for i, (path, old, status) in enumerate(listed))
+        return
+    read = [p for p, _, status in listed if status != "deleted" and L.LANGUAGE_OF_SUFFIX.get(Path(p).suffix.lower()) in L.EXTRACTOR_LANGUAGES]
+    rows = ((p, *read_working(root, p)) for p in read) if repo.include_uncommitted else read_revision(root, revision, read)
+    yield from ((repo.review_id, *r) for r in rows)
 
 
 @dataclass
