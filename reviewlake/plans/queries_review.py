@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..functions import wording as W
 from ..functions.staging import cut
 from ..operators import effects, extract, filtering, grading, questions, report, selection, summarize
 from ..operators.effects import citation
@@ -295,37 +296,34 @@ def grade_evidence(spark, sf):
 
 
 def _graded_sql() -> str:
-    """Whole assessments of the stand-in reviews. What a question cites goes first, then all else in the order of the
+    """Common tables up to ga: whole assessments of the stand-in reviews, lists as lines. What a question cites goes first, then all else in the order of the
     concepts: effects, symbols, calls, tests, files."""
     all_ = [
         ("database.transaction", "src/pay.py", "txn OR tx1"), ("processor.charge", "src/pay.py", "ch OR ext"), ("call.n3", "src/pay.py", "c3 OR ext"), ("handle3", "src/pay.py", "h3"),
         ("handle5", "src/pay.py", "h5"), ("call.n2", "src/pay.py", "c2"), ("tests/test_pay.py", "tests/test_pay.py", "tp"), ("src/pay.py", "src/pay.py", "sp"),
     ]
     cited = {"behavior": ["handle3"], "failure": ["call.n3", "database.transaction", "processor.charge"], "evidence": ["handle5", "tests/test_pay.py"]}
-    lines = {
-        "behavior": ("Connect the behavior explanation directly to ", "."), "failure": ("Explain how ", " participates in the risk boundary."), "evidence": ("Tie the evidence explanation to ", "."),
-    }
+    lines = {"behavior": W.BEHAVIOR_MISSING, "failure": W.FAILURE_MISSING, "evidence": W.EVIDENCE_MISSING}
     strong = {"behavior": "h3 AND (txn OR tx1 OR ch OR ext OR c3 OR h5 OR c2)", "failure": "(c3 OR ext) AND (txn OR tx1) AND (ch OR ext) AND rec", "evidence": "h5 AND tp AND sup AND unc"}
     more = {
-        "behavior": "CASE WHEN NOT (txn OR tx1 OR ch OR ext OR c3 OR h5 OR c2) THEN 'Add another concrete repository detail from the same changed area to explain how the surrounding flow is affected.' END",
-        "failure": "CASE WHEN NOT rec THEN 'Add the partial-completion, retry, recovery, or reconciliation implication for the cited boundaries.' END",
-        "evidence": "CASE WHEN NOT sup THEN 'State which changed behavior the cited test or code path supports.' END, CASE WHEN NOT unc THEN 'Name a specific important path that remains uncovered or unverified.' END",
-    }
+        "behavior": f"CASE WHEN NOT (txn OR tx1 OR ch OR ext OR c3 OR h5 OR c2) THEN '{W.BEHAVIOR_SECOND}' END", "failure": f"CASE WHEN NOT rec THEN '{W.FAILURE_RECOVERY}' END",
+        "evidence": f"CASE WHEN NOT sup THEN '{W.EVIDENCE_SUPPORT}' END, CASE WHEN NOT unc THEN '{W.EVIDENCE_UNCOVERED}' END",
+    }
     named = lambda n, p: f"`{n}` in `{p}`"
     joined = lambda items: "array_to_string(list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL), '|')"
     parts = []
     for category, own in cited.items():
         of = {n: (p, hit) for n, p, hit in all_}
         order = own + [n for n, _, _ in all_ if n not in own]
-        strengths = joined([f"CASE WHEN {of[n][1]} THEN 'Connects the answer to {named(n, of[n][0])}.' END" for n in order])
-        gaps = joined([f"CASE WHEN NOT ({of[n][1]}) THEN '{lines[category][0]}{named(n, of[n][0])}{lines[category][1]}' END" for n in own] + [more[category]])
+        strengths = joined([f"CASE WHEN {of[n][1]} THEN '{W.STRENGTH.format(named=named(n, of[n][0]))}' END" for n in order])
+        gaps = joined([f"CASE WHEN NOT ({of[n][1]}) THEN '{lines[category].format(named=named(n, of[n][0]))}' END" for n in own] + [more[category]])
+        matched = joined([f"CASE WHEN {of[n][1]} THEN '{n}' END" for n in order])
         evidence = joined([f"'{n}'" for n in own] + [f"CASE WHEN ({of[n][1]}) AND NOT unsure THEN '{n}' END" for n in order if n not in own])
         gap = f"WHEN conflict THEN '{L.GAP}' " if category == "failure" else ""
         parts.append(
             f"SELECT review_id, '{category}' AS question_id, CASE WHEN unsure THEN '{L.UNCERTAIN}' {gap}WHEN {strong[category]} THEN '{L.STRONG}' ELSE '{L.PARTIAL}' END AS label, skipped, "
-            f"{strengths} AS s, {gaps} AS g, {evidence} AS evidence FROM z"
+            f"{strengths} AS s, {gaps} AS g, {evidence} AS evidence, {matched} AS matched FROM z"
         )
-    revisit = "Revisit the rollback claim: the cited local transaction boundary does not itself reverse the likely external operation, so partial completion still needs review preparation."
     summary = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.SUMMARIES.items())
     claims = "'call n3', 'processor charge', 'charge', 'network call', 'external effect', 'external operation'"
     return (
@@ -333,15 +331,15 @@ def _graded_sql() -> str:
         f"cf AS (SELECT review_id, bool_or({PASSIVE_SQL} OR (rel <> '' AND NOT {NEGATED_SQL})) AS conflict FROM x GROUP BY ALL), "
         "w AS (SELECT g.*, conflict, contains(t, ' tests test pay py ') OR contains(t, ' test pay py ') OR contains(t, ' test pay ') AS tp, contains(t, ' src pay py ') OR contains(t, ' pay py ') AS sp FROM g JOIN cf USING (review_id)), "
         "z AS (SELECT *, skipped OR NOT (anyhit OR tp OR sp) AS unsure FROM w), "
-        f"a AS ({' UNION ALL '.join(parts)}) "
-        f"SELECT review_id, question_id, label, CASE label {summary} END AS summary, CASE label WHEN '{L.UNCERTAIN}' THEN 'low' ELSE 'medium' END AS confidence, CASE label WHEN '{L.UNCERTAIN}' THEN '' ELSE s END AS strengths, "
-        f"CASE label WHEN '{L.UNCERTAIN}' THEN '' WHEN '{L.STRONG}' THEN '' WHEN '{L.GAP}' THEN '{revisit}' ELSE g END AS gaps, "
-        f"CASE WHEN label <> '{L.UNCERTAIN}' THEN '' WHEN skipped THEN 'The answer was skipped, so no comparison with repository evidence was made.' "
-        "ELSE 'The answer could not be matched responsibly to a repository concept in the available changed-file evidence.' END AS uncertainty_notes, evidence FROM a"
+        f"a AS ({' UNION ALL '.join(parts)}), "
+        f"ga AS (SELECT review_id, question_id, label, CASE label {summary} END AS summary, CASE label WHEN '{L.UNCERTAIN}' THEN 'low' ELSE 'medium' END AS confidence, CASE label WHEN '{L.UNCERTAIN}' THEN '' ELSE s END AS strengths, "
+        f"CASE label WHEN '{L.UNCERTAIN}' THEN '' WHEN '{L.STRONG}' THEN '' WHEN '{L.GAP}' THEN '{W.REVISIT_ROLLBACK}' ELSE g END AS gaps, "
+        f"CASE WHEN label <> '{L.UNCERTAIN}' THEN '' WHEN skipped THEN '{W.SKIPPED}' "
+        f"ELSE '{W.NO_MATCH}' END AS uncertainty_notes, evidence, matched FROM a) "
     )
 
 
-@query(_graded_sql())
+@query(_graded_sql() + "SELECT * EXCLUDE (matched) FROM ga")
 def graded_assessments(spark, sf):
     """Whole assessments with their texts; lists as lines."""
     a = graded(spark, sf)[1]
@@ -433,7 +431,48 @@ def quote_lines(spark, sf):
     return feed(spark, sf, feeds.QA).select("review_id", "turn", report.quote(F.col("question")).alias("quoted"))
 
 
-@query()
+def _markdown_sql() -> str:
+    """The report, section by section, over ga; what is cited is named in evidence and matched."""
+    effect = lambda n: f"`src/pay.py`; symbol `{n}`; line 1; hunk `@@`"
+    shown = {n: effect(n) for n in ("database.transaction", "processor.charge", "call.n3")} | {
+        "handle3": "`src/pay.py`; symbol `handle3`; line 0", "handle5": "`src/pay.py`; symbol `handle5`; line 1", "call.n2": "`src/pay.py`; symbol `call.n2`; line 9",
+        "tests/test_pay.py": "`tests/test_pay.py`", "src/pay.py": "`src/pay.py`",
+    }
+    case = lambda x: f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in shown.items()) + " END"
+    nl = "chr(10)"
+    items = lambda c, empty: f"CASE WHEN {c} = '' THEN '- {empty}' ELSE '- ' || replace({c}, '|', {nl} || '- ') END"
+    cites = lambda c: f"array_to_string(list_transform(string_split({c}, '|'), lambda x: '- ' || {case('x')}), {nl})"
+    asked_ = {"behavior": "handle3", "failure": "call.n3|database.transaction|processor.charge", "evidence": "handle5|tests/test_pay.py"}
+    references = "CASE question_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in asked_.items()) + " END"
+    gap = f"{nl} || {nl}"
+    para = lambda *parts: f" || {gap} || ".join(parts)
+    one = para(
+        "'### ' || o || '. ' || upper(question_id[1]) || question_id[2:]", "'**Question**'", "'> What about ' || question_id || '?'", "'**Answer**'",
+        f"CASE WHEN label = '{L.UNCERTAIN}' THEN '> **Skipped.**' ELSE '> an answer' END", "'**Question Citations**'", cites(references), "'**Assessment:** ' || label",
+        "'**Confidence:** ' || confidence", "'**Summary**'", "'> ' || summary", "'**Strengths**'", items("strengths", "No strengths identified."), "'**Gaps**'", items("gaps", "No gaps identified."),
+        "'**Uncertainty Notes**'", items("uncertainty_notes", "No uncertainty notes."), "'**Evidence**'", cites("evidence"),
+    )
+    request = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in W.FOLLOW_UP_REQUEST.items())
+    prompt = (
+        f"'To prepare for review, consider this gap: ' || string_split(f.gaps, '|')[1] || ' ' || CASE f.question_id {request} ELSE '{W.FOLLOW_UP_REQUEST_ELSE}' END || ' using ' || "
+        "array_to_string(list_transform(string_split(f.evidence, '|'), lambda x: '`' || x || '`'), ', ') || '?'"
+    )
+    head = f"'{report.TITLE}' || {gap} || 'Branch: feature' || {nl} || 'Base branch: main' || {nl} || 'Model mode: local heuristic' || {nl} || 'Generated: 2026-07-18T12:30:45+00:00'"
+    purpose = "Likely updates `handle3` across 2 meaningful files."
+    follow = para("'## Follow-Up'", "'**Question**'", f"'> ' || {prompt}", "'**Answer**'", "'> **Skipped.**'", "'**Citations**'", cites("f.evidence"))
+    points = f"'## Review Talking Points' || {gap} || '- Explain the change: {purpose}' || coalesce({nl} || '- Prepare to discuss: ' || string_split(f.gaps, '|')[1], '') || coalesce({nl} || '- Evidence to cite: ' || e.c || '.', '')"
+    best = "list_sort(list_transform(string_split(matched, '|'), lambda x, i: {'k': CASE WHEN x = 'tests/test_pay.py' THEN 0 WHEN x = 'src/pay.py' THEN 3 ELSE 1 END, 'i': i, 'x': x}))[1].x"
+    return (
+        _graded_sql().rstrip() + ", oa AS (SELECT *, CASE question_id WHEN 'behavior' THEN 1 WHEN 'failure' THEN 2 ELSE 3 END AS o FROM ga), "
+        f"rounds AS (SELECT review_id, string_agg({one}, {gap} ORDER BY o) AS text FROM oa GROUP BY review_id), "
+        f"f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY CASE label WHEN '{L.GAP}' THEN 0 ELSE 1 END, CASE question_id WHEN 'failure' THEN 0 ELSE 1 END, o) AS place FROM oa WHERE label IN ('{L.GAP}', '{L.PARTIAL}') AND gaps <> '') WHERE place = 1), "
+        f"e AS (SELECT review_id, {case('x')} AS c FROM (SELECT review_id, {best} AS x, row_number() OVER (PARTITION BY review_id ORDER BY CASE label WHEN '{L.STRONG}' THEN 0 ELSE 2 END + CASE question_id WHEN 'evidence' THEN 0 ELSE 1 END, o) AS place FROM oa WHERE label IN ('{L.STRONG}', '{L.PARTIAL}') AND matched <> '') WHERE place = 1) "
+        f"SELECT r.review_id, {para(head, repr('## Change Summary'), repr(purpose), repr('**Uncertainty**'), repr('- A note.'), repr('## Questions and Answers'), 'r.text')} || "
+        f"CASE WHEN f.review_id IS NULL THEN '' ELSE {gap} || {follow} END || {gap} || {points} || {nl} AS markdown FROM rounds r LEFT JOIN f USING (review_id) LEFT JOIN e USING (review_id)"
+    )
+
+
+@query(_markdown_sql())
 def markdown_report(spark, sf):
     """The Markdown of the graded stand-in reviews."""
     q, a, files = graded(spark, sf)
