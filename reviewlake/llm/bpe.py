@@ -12,6 +12,7 @@ import heapq
 import json
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -39,7 +40,8 @@ class RankArrayCodec(dict):
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab = model["vocab"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.rank = {(a, b): i for i, (a, b) in enumerate(pairs)}
+        own = {t: t for t in self.vocab}.get  # one string object for each symbol, whichever pairs it is in
+        self.rank = {(own(a, a), own(b, b)): i for i, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.words = regex.compile(SPLIT).findall
@@ -125,16 +127,6 @@ class RankArrayCodec(dict):
         return b" ".join(map(self.names.__getitem__, ids))
 
 
-_codecs: dict[str, RankArrayCodec] = {}
-
-
-def codec(path: str) -> RankArrayCodec:
-    """One for each Python worker and file, kept between batches and tasks."""
-    if path not in _codecs:
-        _codecs[path] = RankArrayCodec(path)
-    return _codecs[path]
-
-
 def _ints(ids: array) -> np.ndarray:
     """Ids as Arrow takes them without a Python object for each."""
     return np.frombuffer(ids, dtype=np.uint32).astype(np.int32)
@@ -144,9 +136,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and token_ids (array of int) of every row; null or empty text has none. No shuffle."""
 
     @F.pandas_udf("array<int>")
-    def ids(text: pd.Series) -> pd.Series:
-        c = codec(path)
-        return pd.Series([_ints(c.encode(t)) for t in text])
+    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        c = RankArrayCodec(path)  # for this task; a worker holds nothing between tasks
+        for text in texts:
+            yield pd.Series([_ints(c.encode(t)) for t in text])
 
     return common.documents(docs).select("doc_id", ids(F.coalesce("text", F.lit(""))).alias("token_ids"))
 
@@ -155,9 +148,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and the text (``decoded``) of its token_ids; null or no ids give an empty text."""
 
     @F.pandas_udf("string")
-    def text(ids: pd.Series) -> pd.Series:
-        c = codec(path)
-        return pd.Series([c.decode([] if x is None else x).decode() for x in ids], dtype=object)
+    def text(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        c = RankArrayCodec(path)
+        for ids in rows:
+            yield pd.Series([c.decode([] if x is None else x).decode() for x in ids], dtype=object)
 
     return encoded.select("doc_id", text("token_ids").alias("decoded"))
 
@@ -167,14 +161,15 @@ def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     more = ", token_ids array<int>" if with_ids else ""
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + more)
-    def both(text: pd.Series) -> pd.DataFrame:
-        c = codec(path)
-        rows = []
-        for t in text:
-            ids = c.encode(t)
-            row = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest())
-            rows.append((*row, _ints(ids)) if with_ids else row)
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids)
+    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = RankArrayCodec(path)
+        for text in texts:
+            rows = []
+            for t in text:
+                ids = c.encode(t)
+                row = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest())
+                rows.append((*row, _ints(ids)) if with_ids else row)
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids)
 
     return common.documents(docs).select("doc_id", both(F.coalesce("text", F.lit(""))).alias("x")).select("doc_id", "x.*")
 

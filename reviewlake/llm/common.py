@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import delete, shared_dir
+
 #: A word is a maximal run of anything but ASCII white space (as a pattern for Java and for Python).
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own: dict[str, str] = {}
 _staged: list[tuple[SparkSession, str]] = []
 
 
@@ -21,24 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset a folder is made for local masters only, since a machine-local one is lost with its machine.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _own[app] = f"file://{tempfile.mkdtemp(prefix='reviewlake-')}"
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return _own[app]
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is removed when the driver ends, if not before by ``drop``."""
     path = f"{shared_dir(spark)}/reviewlake/{name}-{uuid.uuid4().hex}"
@@ -65,22 +47,16 @@ def drop(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_staged_path", None)
         if path:
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
             _staged[:] = [x for x in _staged if x[1] != path]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 @atexit.register
 def _clean() -> None:
     for spark, path in _staged:
         try:
             if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
+                delete(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone; nothing more can be done at exit
             return
 

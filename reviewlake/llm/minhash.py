@@ -58,7 +58,7 @@ class _Words(dict):
     """Word to 64-bit hash, forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
+        if len(self) > 100_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
@@ -66,21 +66,19 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _32)) * _MIX
     return x ^ (x >> _32)
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
+def shingles(text: str | None, k: int, store: _Words | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; of the whole where there are fewer words; none without.
 
     Only A-Z are lower-cased; words are parted by ASCII white space.
     """
     words = (text or "").encode().lower().split()
-    h = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+    store = _Words() if store is None else store
+    h = np.fromiter(map(store.__getitem__, words), dtype=np.uint64, count=len(words))
     n = len(h)
     if not n:
         return h
@@ -113,10 +111,11 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set (d1, d2), head (the keys) and sketch of every row; these null if empty."""
 
     def signed(batches):
+        store = _Words()  # for this task; a worker holds nothing between tasks
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                s = shingles(text, k)
+                s = shingles(text, k, store)
                 if not len(s):
                     rows.append((doc_id, 0, None, None, None, None))
                     continue
@@ -307,12 +306,12 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     pairs = common.staged(pairs.distinct(), "pairs")
 
     def sets(batches):
-        seen = set()  # rows that repeat within a task go no further
+        seen, store = set(), _Words()  # rows that repeat within a task go no further
         rows, held = [], 0
         frame = lambda rows: pd.DataFrame(rows, columns=["doc_id", "d", "n", "bits", "piece", "s"])
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
-                x = shingles(text, k)
+                x = shingles(text, k, store)
                 if (doc_id, d := _digest(x)[0]) in seen:
                     continue
                 seen.add((doc_id, d))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 import regex
@@ -96,16 +97,6 @@ class HeapCounter(dict):
         return len(parts) - 1 + sum(map(self.__getitem__, (w for p in parts for w in self.words(p))))
 
 
-_counters: dict[str, HeapCounter] = {}
-
-
-def counter(path: str) -> HeapCounter:
-    """One for each Python worker and file, kept between batches and tasks."""
-    if path not in _counters:
-        _counters[path] = HeapCounter(path)
-    return _counters[path]
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row, in its own task: there is no shuffle.
 
@@ -113,8 +104,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """
 
     @F.pandas_udf("long")
-    def tokens(text: pd.Series) -> pd.Series:
-        return text.map(counter(path).count).astype("int64")
+    def tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        c = HeapCounter(path)  # for this task; a worker holds nothing between tasks
+        for text in texts:
+            yield text.map(c.count).astype("int64")
 
     return (
         common.documents(docs)
