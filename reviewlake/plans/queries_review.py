@@ -78,6 +78,17 @@ def omission_notes(spark, sf):
     return omitted.select("review_id", effects.cap_note(F.col("omitted"), 10).alias("note"))
 
 
+@query(
+    f"{C_CTE}{HIT}{ALIAS}{KIND}, u AS (SELECT review_id, count(*) AS used FROM k WHERE kind = '{L.TRANSACTION}' GROUP BY review_id), d AS (SELECT review_id, kind, path, lower(name) AS n, hunk_header, min(call_ord) AS call_ord FROM k WHERE kind IS NOT NULL GROUP BY ALL), "
+    f"p AS (SELECT d.*, row_number() OVER (PARTITION BY review_id ORDER BY call_ord) + coalesce(used, 0) AS place FROM d LEFT JOIN u USING (review_id) WHERE kind <> '{L.TRANSACTION}') SELECT review_id, call_ord, kind, path FROM p WHERE place <= 20"
+)
+def effects_appended(spark, sf):
+    """Signals added to those that are known already: here all transactions are, and take from the limit of 20."""
+    found = classified_calls(spark, sf).filter("kind is not null")
+    kept, _ = effects.deduped(found, existing=found.filter(F.col("kind") == L.TRANSACTION), most=20)
+    return kept.select("review_id", "call_ord", "kind", "path")
+
+
 E_SQL = f"e AS ({duck(feeds.EFFECTS)})"
 
 

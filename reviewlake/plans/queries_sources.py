@@ -5,10 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import extract, filtering, present
+from ..operators import extract, filtering, present, summarize
 from ..sources import config, feeds, git
 from ..sources.feeds import duck, feed
-from .queries_files import F_CTE, REASON
+from .queries_files import F_CTE, REASON, TEST, effects_with_evidence
+from .queries_files import ORACLES as FILE_ORACLES
 
 QUERIES, ORACLES = {}, {}
 
@@ -152,3 +153,31 @@ def review_overview(spark, sf):
 @query(f"WITH r AS ({duck(feeds.REPLIES)}) SELECT review_id, count(*) FILTER (NOT skipped) AS answered, count(*) FILTER (skipped) AS skipped FROM r GROUP BY review_id")
 def answer_counts(spark, sf):
     return present.answer_counts(feed(spark, sf, feeds.REPLIES))
+
+
+OTHER = "Symbol-level analysis was unavailable for Go; any symbols inferred from hunk context are heuristic."
+SHOWN = "string_agg('  - ' || {x}, chr(10) ORDER BY {o})"
+
+
+@query(
+    f"{F_CTE}, e AS ({duck(feeds.EFFECTS)}), v AS (SELECT * FROM e WHERE EXISTS (SELECT 1 FROM f WHERE f.review_id = e.review_id AND f.path = e.path)), "
+    "vp AS (SELECT *, row_number() OVER (PARTITION BY review_id, kind ORDER BY o) AS r FROM (SELECT review_id, kind, path, min(effect_ord) AS o FROM v GROUP BY ALL)), "
+    "ps AS (SELECT review_id, kind, string_agg('\"' || path || '\"', ', ' ORDER BY o) AS paths FROM vp WHERE r <= 3 GROUP BY ALL), "
+    "ks AS (SELECT review_id, kind, min(effect_ord) AS o, arg_min(description, effect_ord) AS d FROM v GROUP BY ALL), "
+    f"es AS (SELECT review_id, {SHOWN.format(x="kind || ': ' || d || ' Evidence: ' || paths", o='o')} AS t FROM ks JOIN ps USING (review_id, kind) GROUP BY review_id), "
+    f"rs AS (SELECT review_id, {SHOWN.format(x="'\"' || path || '\"'", o='place')} AS t FROM ({FILE_ORACLES['relevant_files_top5']}) GROUP BY review_id), "
+    f"tf AS (SELECT review_id, path, row_number() OVER (PARTITION BY review_id ORDER BY file_ord) AS r, count(*) OVER (PARTITION BY review_id) AS n FROM f WHERE {TEST}), "
+    f"ts AS (SELECT review_id, {SHOWN.format(x="'\"' || path || '\"'", o='r')} FILTER (r <= 5) || CASE WHEN max(n) > 5 THEN chr(10) || '  - and ' || (max(n) - 5) || ' more' ELSE '' END AS t FROM tf GROUP BY review_id) "
+    "SELECT review_id, 'Purpose: Likely updates code.' || "
+    + " || ".join(LIST.format(title=title, items=f"{t}.t") for title, t in (("Relevant files", "rs"), ("Tests found", "ts"), ("Likely side effects", "es")))
+    + f" || chr(10) || 'Uncertainty:' || chr(10) || '  - {OTHER}' || chr(10) || '  - A note.' AS summary "
+    "FROM (SELECT DISTINCT review_id FROM f) LEFT JOIN rs USING (review_id) LEFT JOIN ts USING (review_id) LEFT JOIN es USING (review_id)"
+)
+def review_summary(spark, sf):
+    """What the terminal shows of each review before the questions."""
+    files = filtering.classified(feed(spark, sf, feeds.FILES))
+    relevant = filtering.relevant_files(files, feed(spark, sf, feeds.EFFECTS), feed(spark, sf, feeds.SYMBOLS))
+    by_kind = summarize.effects_by_kind(effects_with_evidence(spark, sf), files)
+    ids = files.select("review_id").distinct()
+    notes = ids.select("review_id", F.array(F.lit("A note."), F.lit(OTHER)).alias("notes"))
+    return present.summary(ids.select("review_id", F.lit("Likely updates code.").alias("purpose")), relevant, files, by_kind, notes)
