@@ -13,6 +13,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -32,7 +33,7 @@ NEVER = 1 << 60
 class RankArrayCodec(dict):
     """Word to its ids, found when first asked for; the store is bounded by ``most_words`` and ``longest_kept``."""
 
-    def __init__(self, path: str, most_words: int = 120_000, longest_kept: int = 64, short: int = 256):
+    def __init__(self, path: str, most_words: int = 60_000, longest_kept: int = 64, short: int = 256):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -42,6 +43,7 @@ class RankArrayCodec(dict):
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         own = {t: t for t in self.vocab}.get  # one string object for each symbol, whichever pairs it is in
         self.rank = {(own(a, a), own(b, b)): i for i, (a, b) in enumerate(pairs)}
+        del spec["model"], model  # only what is looked up stays
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.words = regex.compile(SPLIT).findall
@@ -127,6 +129,20 @@ class RankArrayCodec(dict):
         return b" ".join(map(self.names.__getitem__, ids))
 
 
+_codecs: dict[str, RankArrayCodec] = {}
+
+
+@contextmanager
+def codec(path: str):
+    """The codec of a Python worker and file: its tables are kept for later tasks, its words only for one."""
+    if path not in _codecs:
+        _codecs[path] = RankArrayCodec(path)
+    try:
+        yield _codecs[path]
+    finally:
+        _codecs[path].clear()
+
+
 def _ints(ids: array) -> np.ndarray:
     """Ids as Arrow takes them without a Python object for each."""
     return np.frombuffer(ids, dtype=np.uint32).astype(np.int32)
@@ -137,9 +153,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = RankArrayCodec(path)  # for this task; a worker holds nothing between tasks
-        for text in texts:
-            yield pd.Series([_ints(c.encode(t)) for t in text])
+        with codec(path) as c:
+            for text in texts:
+                yield pd.Series([_ints(c.encode(t)) for t in text])
 
     return common.documents(docs).select("doc_id", ids(F.coalesce("text", F.lit(""))).alias("token_ids"))
 
@@ -149,27 +165,31 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = RankArrayCodec(path)
-        for ids in rows:
-            yield pd.Series([c.decode([] if x is None else x).decode() for x in ids], dtype=object)
+        with codec(path) as c:
+            for ids in rows:
+                yield pd.Series([c.decode([] if x is None else x).decode() for x in ids], dtype=object)
 
     return encoded.select("doc_id", text("token_ids").alias("decoded"))
 
 
 def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text, encoded and decoded in one pass over each row."""
+    """doc_id, n_tokens and the digests of ids and decoded text, encoded and decoded in one pass over each row.
+
+    Null or empty text: no ids, and the digests of nothing. Repeated rows come back repeated; a null doc_id stays null.
+    Very long texts and words are encoded whole. Further columns are not looked at.
+    """
     more = ", token_ids array<int>" if with_ids else ""
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + more)
     def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = RankArrayCodec(path)
-        for text in texts:
-            rows = []
-            for t in text:
-                ids = c.encode(t)
-                row = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest())
-                rows.append((*row, _ints(ids)) if with_ids else row)
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids)
+        with codec(path) as c:
+            for text in texts:
+                rows = []
+                for t in text:
+                    ids = c.encode(t)
+                    row = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest())
+                    rows.append((*row, _ints(ids)) if with_ids else row)
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids)
 
     return common.documents(docs).select("doc_id", both(F.coalesce("text", F.lit(""))).alias("x")).select("doc_id", "x.*")
 

@@ -254,7 +254,7 @@ def matches(
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item; all their columns."""
+    """Documents that contain no benchmark item, with all their columns; those with a null doc_id or text stay."""
     found = common.staged(matches(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "matched")
     return docs.join(common.few(found), "doc_id", "left_anti").select(*docs.columns)
 

@@ -453,7 +453,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least doc_id; all columns are kept."""
+    """One document of each group of near copies stays: the one with the least doc_id, with all its columns and repeated
+    rows. Documents without words, or with a null doc_id, stay."""
     found = common.staged(near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "not-kept")
     return docs.join(common.few(found), "doc_id", "left_anti").select(*docs.columns)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import regex
@@ -97,17 +98,32 @@ class HeapCounter(dict):
         return len(parts) - 1 + sum(map(self.__getitem__, (w for p in parts for w in self.words(p))))
 
 
+_counters: dict[str, HeapCounter] = {}
+
+
+@contextmanager
+def counter(path: str):
+    """The counter of a Python worker and file: its tables are kept for later tasks, its words only for one."""
+    if path not in _counters:
+        _counters[path] = HeapCounter(path)
+    try:
+        yield _counters[path]
+    finally:
+        _counters[path].clear()
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row, in its own task: there is no shuffle.
 
-    Null or empty text: 0 bytes, 0 tokens. Repeated rows come back repeated; a null doc_id stays null.
+    Null or empty text: 0 bytes, 0 tokens. Repeated rows come back repeated; a null doc_id stays null. Very long texts
+    and words are counted whole. Further columns are not looked at. A count equal to the limit is not over it.
     """
 
     @F.pandas_udf("long")
     def tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = HeapCounter(path)  # for this task; a worker holds nothing between tasks
-        for text in texts:
-            yield text.map(c.count).astype("int64")
+        with counter(path) as c:
+            for text in texts:
+                yield text.map(c.count).astype("int64")
 
     return (
         common.documents(docs)

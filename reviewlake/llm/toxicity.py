@@ -252,7 +252,8 @@ def score(docs: DataFrame, labels: DataFrame, most_fit: int = 20_000, threshold:
     """doc_id, held_out, score, predicted of every row. No shuffle beyond the bounded training rows.
 
     Null or empty text: the score of a text in which no voter finds anything. Null doc_id: held_out is null.
-    Repeated rows come back repeated. Without labelled rows every score is the same, below the threshold.
+    Repeated rows come back repeated. Without labelled rows every score is the same, below the threshold. Very long texts
+    are scored whole; further columns are not looked at. Scores equal to the threshold are predicted toxic.
     """
     model = train(docs, labels, most_fit)
 
@@ -268,7 +269,8 @@ def score(docs: DataFrame, labels: DataFrame, most_fit: int = 20_000, threshold:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str, threshold: float = 0.7) -> DataFrame:
-    """Documents that are not predicted toxic, with all their columns."""
+    """Documents that are not predicted toxic, with all their columns. A null text is scored as an empty one; repeated rows
+    stay or go together. Scores equal to the threshold are toxic."""
     model = train(docs, common.table(spark, sf_dir, "labels"))
 
     @F.pandas_udf("double")
