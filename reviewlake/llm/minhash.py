@@ -462,3 +462,26 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents, by sets of 4-word shingles that are alike to 80 %."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE
+w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)
+),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS d FROM s GROUP BY doc_id),
+classes AS (SELECT d, n, min(doc_id) AS rep FROM sets GROUP BY d, n),
+rs AS (SELECT rep, n, s FROM classes JOIN s ON s.doc_id = rep),
+shared AS (SELECT x.rep AS a, y.rep AS b, x.n AS na, y.n AS nb, count(*) AS m FROM rs x JOIN rs y ON x.s = y.s AND x.rep < y.rep GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * m >= 80 * (na + nb - m)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT rep AS a, rep AS b FROM classes UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+comps AS (SELECT a AS rep, min(b) AS comp FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(sets.n, 0)::BIGINT AS n_shingles, coalesce(comp, w.doc_id) AS component_id, coalesce(comp, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN sets USING (doc_id) LEFT JOIN classes USING (d, n) LEFT JOIN comps USING (rep)
+"""

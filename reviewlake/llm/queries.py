@@ -15,6 +15,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {
+    "op1_near_dedup": minhash.OP1_SQL,
     "op2_line_dedup": linedup.OP2_SQL,
     "op5_warc": warc.OP5_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,

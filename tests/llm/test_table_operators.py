@@ -84,6 +84,25 @@ def test_near_duplicates_odd_tables(spark):
     assert sorted(str(r["doc_id"]) for r in minhash.stage(spark, df, SF).collect()) == ["2", "5", "6", "None"]
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    """Sets that move in pieces, also where two texts are cut into different numbers of them."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(33_000)]
+    texts = [" ".join(words), " ".join(words[:28_000]), varied(rng, words, 100), " ".join(words[:21_000]), varied(rng, words, 4000), " ".join(words[::-1]), "short one here now"]
+    rows = list(enumerate(texts))
+    sizes = [len(minhash.pieces(minhash.shingles(t, 4))) for t in texts]
+    assert sizes[0] == 16 and sizes[1] == 8 and sizes[-1] == 1
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == brute_components(rows, 4) and got[1] == 0 and got[3] == 3
+
+
+def test_pieces_hold_a_set_once():
+    s = np.unique(np.random.default_rng(1).integers(0, 2**64, 50_000, dtype=np.uint64))
+    cut = minhash.pieces(s)
+    assert (np.concatenate([x for _, _, x in cut]) == s).all() and all((x >> np.uint64(64 - b) == i).all() for b, i, x in cut)
+    assert max(len(x) for _, _, x in cut) < 2 * minhash.PIECE and minhash.pieces(s[:0])[0][:2] == (0, 0)
+
+
 def test_last_round_leaves_no_pair_of_a_crowded_region():
     """All pairs of two components go to verification, down to four standard deviations below the threshold."""
     rng = np.random.default_rng(3)
