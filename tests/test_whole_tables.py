@@ -1,4 +1,4 @@
-"""Queries whose SQL oracle covers a part of the rows, held against all of them."""
+"""Queries over whole tables, held against rows that are found in another way than by their SQL."""
 
 import glob
 import hashlib
