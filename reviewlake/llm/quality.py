@@ -184,15 +184,16 @@ def anomaly_of(model: Judge):
 
 
 def fit(measured: DataFrame, labels: DataFrame, most_fit: int = 10_000, penalty: float = 12.0) -> Judge:
-    """Grows on at most ``most_fit`` good rows, those with the least hash of doc_id, half of the good rows at most; all
-    other labelled rows calibrate."""
+    """Grows on some ``most_fit`` good rows, those below a cut of a hash of doc_id, half of the good rows at most; all
+    other labelled rows calibrate. Rows with one doc_id grow as one, and twice ``most_fit`` reach the driver at most."""
     rows = measured.filter("not base_failed").join(known(labels), "doc_id").withColumn("_h", F.xxhash64("doc_id"))
     may_grow = (F.col("quality") == 1) & (F.pmod("_h", F.lit(2)) == 0)
     rows = common.staged(rows.select("doc_id", "x", "quality", "_h", may_grow.alias("may_grow")), "labelled")
-    grow = rows.filter("may_grow").orderBy("_h", "doc_id", "x").limit(most_fit).toPandas()
+    n = rows.filter("may_grow").select("doc_id").distinct().count()
+    chosen = F.col("may_grow") if n <= most_fit else F.col("may_grow") & (F.col("_h") < -(2**63) + 2**64 * most_fit // n)
+    grow = rows.filter(chosen).groupBy("doc_id").agg(F.min("x").alias("x")).limit(2 * most_fit).toPandas().sort_values("doc_id")
     model = Judge(np.array(grow["x"].tolist(), dtype=float).reshape(-1, len(FEATURES)))
-    last = grow["_h"].max() if len(grow) == most_fit else None
-    rest = rows.filter("not may_grow" + ("" if last is None else f" or _h > {last}"))
+    rest = rows.filter(~chosen)
     at = F.least(F.floor(anomaly_of(model)("x") * BINS), F.lit(BINS - 1)).alias("bin")
     counts = rest.select(at, "quality").groupBy("bin").agg(F.sum((F.col("quality") == 0).cast("long")).alias("bad"), F.sum((F.col("quality") == 1).cast("long")).alias("fine")).toPandas()
     common.drop(rows)
