@@ -7,10 +7,16 @@ keep to the share in one block at least, or their distances would sum to more. S
 block finds within its share holds every pair that is sought, and the cosine of whole vectors then decides.
 
 A block's range join deals the vectors into cells of its first dimensions, whose side is twice the block's radius. A
-vector is at home in one cell and visits those that its radius reaches. As many dimensions are cut as a label is large,
-none where it is small. A cell of more than ``CHUNK`` vectors is compared in pieces of about ``CHUNK`` by ``CHUNK``
-vectors, each a group of its own, so a hot label, or a group of near copies with a third of all vectors, is spread, and
-a task holds two pieces. In a group, matrix products find the pairs within the share, and those are verified.
+vector is at home in one cell and visits those that its radius reaches. A small label has a few wide blocks and no
+cells, since a wide block tells most and costs least; a large one has narrow blocks, whose radius is small against the
+spread of a coordinate, and the more dimensions are cut the larger it is (``shape``). A cell of more than ``CHUNK``
+vectors is compared in pieces of about ``CHUNK`` by ``CHUNK`` vectors, each a group of its own, so a hot label, or a
+group of near copies with a third of all vectors, is spread, and a task holds two pieces. In a group, matrix products
+find the pairs within the share, strip by strip, and those are verified.
+
+How it grows: vectors spread evenly over all directions are the worst case. Then a label of n vectors sends each of
+them to some 16 (n / CHUNK) ** 0.6 groups. A group of n near copies that are no copies sends each to n / CHUNK groups,
+since the number of links of each has to be counted.
 
 No pair leaves its group. A pair that several blocks find counts in the first of them, as its two vectors tell, so each
 group gives the number of links of its vectors, and joins what it found linked to stars; sums of the numbers, and the
@@ -32,7 +38,8 @@ from pyspark.sql import functions as F
 
 from . import common, minhash
 
-CHUNK = 1024
+CHUNK, STRIP = 8192, 256
+WIDE, NARROW = 16, 4
 SLACK = 1e-9
 
 
@@ -79,50 +86,44 @@ def cells(y: np.ndarray, radius: float, cut: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(rows), np.concatenate(found), np.concatenate(at_home)
 
 
-def dimensions_cut(n_rows: int, most: int = 6) -> int:
-    """How many dimensions the cells of a label have: one more each time it doubles beyond four chunks, up to ``most``."""
-    return min(most, (n_rows // (4 * CHUNK)).bit_length())
+def shape(n_rows: int) -> tuple[int, int]:
+    """(dimensions of a block, how many of them are cut) for a label of so many vectors; a cut leaves a third of the pairs."""
+    if n_rows <= 4 * CHUNK:
+        return WIDE, 0
+    cut = 1
+    while cut < NARROW and 3**cut * CHUNK < n_rows:
+        cut += 1
+    return NARROW, cut
 
 
-def linked_pairs(x: np.ndarray, home: np.ndarray, visits: np.ndarray, block: int, spans: list[tuple[int, int]], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, first): rows at home and visiting rows of ``x`` (as ``scaled`` gives them) that are linked and that this
-    block finds; first: no earlier block does."""
-    dims = x.shape[1]
-    reach = 2 - 2 * least
-    share = [reach * (b - a) / dims * (1 + SLACK) + SLACK for a, b in spans]
+def linked_pairs(x: np.ndarray, home: np.ndarray, visits: np.ndarray, block: int, spans: list[tuple[int, int]], least: float):
+    """(i, j, first), strip by strip: rows at home and visiting rows of ``x`` (as ``scaled`` gives them) that are linked
+    and that this block finds; first: no earlier block does."""
+    share = [(2 - 2 * least) * (b - a) / x.shape[1] * (1 + SLACK) + SLACK for a, b in spans]
     u, length = unit(x), (x * x).sum(1)
     y = rotated(u)
     a, b = spans[block]
     z = y[:, a:b]
     norm = (z * z).sum(1)
-    out = []
-    for s in range(0, len(home), 512):
-        h = home[s : s + 512]
+    for s in range(0, len(home), STRIP):
+        h = home[s : s + STRIP]
         near = norm[h, None] + norm[None, visits] - 2 * (z[h] @ z[visits].T) <= share[block] + 1e-7
         if near.mean() > 0.05:  # most are copies of each other: all cosines by one product
             near &= u[h] @ u[visits].T >= least - SLACK
         i, j = np.nonzero(near)
-        out.append((h[i], visits[j]))
-    i, j = (np.concatenate(p) for p in zip(*out, strict=True)) if out else (np.zeros(0, dtype=int),) * 2
-    kept = []
-    for s in range(0, len(i), 16_384):
-        p, q = i[s : s + 16_384], j[s : s + 16_384]
-        ok = (p != q) & ((x[p] * x[q]).sum(1) / np.sqrt(length[p] * length[q]) >= least)
-        p, q = p[ok], q[ok]
-        # squares and sums are the same in every group, so all blocks agree on which of them is the first
-        d = (y[p] - y[q]) ** 2
-        within = [d[:, s0:s1].sum(1) <= most for (s0, s1), most in zip(spans, share, strict=True)]
-        ok = within[block]
-        first = ~np.logical_or.reduce([np.zeros(len(p), dtype=bool), *within[:block]])
-        kept.append((p[ok], q[ok], first[ok]))
-    if not kept:
-        return np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0, dtype=bool)
-    return tuple(np.concatenate(p) for p in zip(*kept, strict=True))
-
-
-def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n nodes the least one that links i - j connect it with."""
-    top = np.arange(n)
+        for t in range(0, len(i), 16_384):
+            p, q = h[i[t : t + 16_384]], visits[j[t : t + 16_384]]
+            ok = (p != q) & ((x[p] * x[q]).sum(1) / np.sqrt(length[p] * length[q]) >= least)
+            p, q = p[ok], q[ok]
+            # squares and sums are the same in every group, so all blocks agree on which of them is the first
+            d = (y[p] - y[q]) ** 2
+            within = [d[:, lo:hi].sum(1) <= most for (lo, hi), most in zip(spans[: block + 1], share, strict=False)]
+            first = ~np.logical_or.reduce([np.zeros(len(p), dtype=bool), *within[:block]])
+            yield p[within[block]], q[within[block]], first[within[block]]
+
+
+def join_stars(top: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``top``, the least node that each node is connected with so far, after further links i - j."""
     while len(i):
         a, b = top[i], top[j]
         if (a == b).all():
@@ -133,7 +134,7 @@ def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return top
 
 
-def near_links(vectors: DataFrame, least: float = 0.98, block_dims: int = 16) -> DataFrame:
+def near_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label).
 
     Rows are linked if their labels are equal and not null, their embeddings have one length, and their cosine in
@@ -162,16 +163,16 @@ def near_links(vectors: DataFrame, least: float = 0.98, block_dims: int = 16) ->
 
     def placed(batches):
         for pdf in batches:
-            cut = [dimensions_cut(int(n)) for n in pdf["n"]]
-            for (dims, c), g in pdf.assign(cut=cut).groupby(["dims", "cut"], sort=False):
+            shapes = [shape(int(n)) for n in pdf["n"]]
+            for (dims, (width, cut)), g in pdf.drop(columns="n").groupby([pdf["dims"], pd.Series(shapes, index=pdf.index)], sort=False):
                 y = rotated(unit(scaled(np.stack(g["embedding"].to_list()))))
-                for k, (a, b) in enumerate(blocks(dims, block_dims)):
-                    rows, cell, home = cells(y[:, a:b], float(np.sqrt((2 - 2 * least) * (b - a) / dims)), min(c, b - a))
+                for k, (a, b) in enumerate(blocks(dims, width)):
+                    rows, cell, home = cells(y[:, a:b], float(np.sqrt((2 - 2 * least) * (b - a) / dims)), min(cut, b - a))
                     names = [",".join(map(str, x)) for x in cell.tolist()]
-                    yield g.drop(columns=["n", "cut"]).iloc[rows].assign(block=k, cell=names, home=home)
+                    yield g.iloc[rows].assign(width=width, block=k, cell=names, home=home)
 
-    key = ["label", "dims", "block", "cell"]
-    columns = f"label string, dims int, class long, rep long, copies long, embedding array<{kind}>, block int, cell string, home boolean"
+    key = ["label", "dims", "width", "block", "cell"]
+    columns = f"label string, dims int, class long, rep long, copies long, embedding array<{kind}>, width int, block int, cell string, home boolean"
     visits = common.staged(dealt.mapInPandas(placed, columns), "cells")
     crowded = visits.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK).select(*key, F.ceil(F.col("n") / CHUNK).alias("pieces"))
     crowded = common.staged(crowded, "crowded")
@@ -189,12 +190,15 @@ def near_links(vectors: DataFrame, least: float = 0.98, block_dims: int = 16) ->
             return pd.DataFrame({"class": [], "n": [], "rep": [], "top": []}, dtype="int64")
         pdf = pdf.reset_index(drop=True)
         ids, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
-        i, j, first = linked_pairs(scaled(np.stack(pdf["embedding"].to_list())), home, visit, int(key[2]), blocks(int(key[1]), block_dims), least)
-        n = np.bincount(i[first], weights=copies[j[first]], minlength=len(ids)).astype(np.int64)
         order = np.argsort(ids, kind="stable")  # so that the first node is the one with the least id
         turned = np.empty_like(order)
         turned[order] = np.arange(len(order))
-        top = ids[order][stars(len(ids), turned[i], turned[j])][turned]
+        n, top = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+        _, dims, width, block, _ = key[:5]
+        for i, j, first in linked_pairs(scaled(np.stack(pdf["embedding"].to_list())), home, visit, int(block), blocks(int(dims), int(width)), least):
+            np.add.at(n, i[first], copies[j[first]])
+            top = join_stars(top, turned[i], turned[j])
+        top = ids[order][top][turned]
         some = np.flatnonzero((n > 0) | (top != ids))
         return pd.DataFrame({"class": pdf["class"].to_numpy()[some], "n": n[some], "rep": ids[some], "top": top[some]})
 
