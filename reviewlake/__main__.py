@@ -7,10 +7,10 @@ import sys
 from pathlib import Path
 
 from . import __version__
-from .errors import ReportWriteFailed, ReviewError
+from .errors import ReportWriteFailed, ReviewError, raised
 from .sources import config, git, setup, transcript
 
-CONFIG = ".reviewlake.yml"
+CONFIG = git.CONFIG_FILE
 
 
 def _typed() -> list[str]:
@@ -23,6 +23,13 @@ def _typed() -> list[str]:
     return out
 
 
+def stop_on_failure(failures) -> None:
+    """The terminal has one review, so its failure ends the command."""
+    row = failures.first()
+    if row is not None:
+        raise raised(row)
+
+
 def _review(a: argparse.Namespace) -> None:
     from pyspark.sql import SparkSession
 
@@ -34,9 +41,10 @@ def _review(a: argparse.Namespace) -> None:
     o = config.resolve(config.load(Path(root) / CONFIG), base=a.base, report_path=a.report, questions=a.questions, include_uncommitted=a.include_uncommitted, directory=here)
     spark = SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
-    options = review.Options(exclude=o.exclude, n_questions=o.questions, follow_up=not a.no_follow_up)
-    feed = git.feed(spark, [git.Repo(1, root, o.base, o.include_uncommitted)], o.exclude)
+    options = review.Options()
+    feed = git.feed(spark, [git.Repo(1, root, o.base, o.include_uncommitted, o.questions, not a.no_follow_up)])
     b = review.model(feed, options)
+    stop_on_failure(b.failures)
     print(present.overview(feed.reviews, b.files, b.filtered).first()["overview"], end="\n\n")
     shown = present.summary(b.purposes, b.relevant, b.files, b.by_kind, b.notes).first()
     status = b.status.first()
@@ -54,6 +62,7 @@ def _review(a: argparse.Namespace) -> None:
     ids = spark.createDataFrame([(q["question_ord"], q["id"]) for q in asked], "question_ord int, question_id string")
     answers = transcript.parse(lines, len(asked)).join(ids, "question_ord").drop("question_ord")
     graded = review.assess(feed, b, answers, options)
+    stop_on_failure(graded.failures)
     more = graded.follow_ups.first()
     if more is not None:
         print(f"\nFollow-up: {more['prompt']}")

@@ -15,6 +15,20 @@ class ReviewError(Exception):
         return "\n".join(x for x in (self.message, self.recovery, self.details) if x)
 
 
+#: A failure as a value in a table.
+FAILURE = "struct<error: string, message: string, recovery: string, details: string>"
+
+
+def failure_row(e: ReviewError) -> dict[str, str]:
+    return {"error": type(e).__name__, "message": e.message, "recovery": e.recovery, "details": e.details}
+
+
+def raised(row) -> ReviewError:
+    """The error of a row with the fields of FAILURE."""
+    kinds = {k.__name__: k for k in ReviewError.__subclasses__()}
+    return kinds.get(row["error"], ReviewError)(row["message"], row["recovery"] or "", row["details"] or "")
+
+
 class NotARepository(ReviewError):
     pass
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -114,7 +115,39 @@ def _segment(part: str) -> str:
     return out
 
 
-def ignored(path: Column, patterns: list[str]) -> Column:
-    """Whether one of the patterns covers the path."""
+def ignore_set_regex(patterns) -> str | None:
+    """One regular expression for a set of patterns; None if it covers nothing."""
     found = [r for p in patterns if (r := ignore_regex(p))]
-    return F.rlike(path, F.lit("|".join(f"(?:{r})" for r in found))) if found else F.lit(False)
+    return "|".join(f"(?:{r})" for r in found) or None
+
+
+def ignored(path: Column, patterns: list[str] | Column) -> Column:
+    """Whether one of the patterns covers the path; or, given a column, whether its expression (of ``ignore_set_regex``) does."""
+    if isinstance(patterns, Column):
+        return F.coalesce(F.rlike(path, patterns), F.lit(False))
+    found = ignore_set_regex(patterns)
+    return F.rlike(path, F.lit(found)) if found else F.lit(False)
+
+
+class Filter:
+    """Why a file is of low value, for a reader that has to know it while it reads; ``filtering`` says the same of columns."""
+
+    def __init__(self, exclude: Iterable[str] = ()):
+        found = ignore_set_regex(exclude)
+        self.excluded = re.compile(found).search if found else lambda path: None
+
+    def path_reason(self, path: str) -> str | None:
+        *dirs, last = path.split("/")
+        if not set(L.GENERATED_DIRS).isdisjoint(dirs):
+            return L.GENERATED
+        if not set(L.VENDORED_DIRS).isdisjoint(dirs):
+            return L.VENDORED
+        if last in L.LOCKFILES:
+            return L.LOCKFILE
+        if last.lower().endswith(tuple(L.MINIFIED_SUFFIXES)):
+            return L.MINIFIED
+        return L.EXCLUDED if self.excluded(path) else None
+
+    def reason(self, path: str, old_path: str | None) -> str | None:
+        """A rename is filtered only if both its paths are."""
+        return self.path_reason(path) if old_path is None or self.path_reason(old_path) else None

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..functions.staging import cut
 
 _group = lambda c, pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
 
@@ -102,8 +103,8 @@ def hunk_symbols(hunks: DataFrame) -> DataFrame:
     return found.select("review_id", "path", "f.hunk_ord", "name", "kind", F.col("f.new_start").alias("line_start"), F.lit(L.FALLBACK).alias("origin"))
 
 
-def _python_rows(path: str, source: str, affected: set[int]) -> list[tuple]:
-    """(class, ord, name, kind, line, local name) in source order."""
+def _python_nodes(source: str) -> list[tuple]:
+    """(class, ord, name, kind, line, last line, local name) of all declarations, imports and calls in source order."""
     nodes = sorted(ast.walk(ast.parse(source)), key=lambda n: (getattr(n, "lineno", 0), getattr(n, "col_offset", 0)))
     kinds = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "async function", ast.ClassDef: "class"}
 
@@ -118,40 +119,73 @@ def _python_rows(path: str, source: str, affected: set[int]) -> list[tuple]:
     rows: list[tuple] = []
     for n in nodes:
         if type(n) in kinds:
-            if any(n.lineno <= a <= (n.end_lineno or n.lineno) for a in affected):
-                rows.append(("symbol", n.name, kinds[type(n)], n.lineno, None))
+            rows.append(("symbol", n.name, kinds[type(n)], n.lineno, n.end_lineno or n.lineno, None))
         elif isinstance(n, ast.Import):
-            rows += [("import", a.name, "import", n.lineno, a.asname or a.name.split(".")[0]) for a in n.names]
+            rows += [("import", a.name, "import", n.lineno, n.lineno, a.asname or a.name.split(".")[0]) for a in n.names]
         elif isinstance(n, ast.ImportFrom):
             module = "." * n.level + (n.module or "")
             module += "." if module and not module.endswith(".") else ""
-            rows += [("import", module + a.name, "import", n.lineno, a.asname or a.name) for a in n.names]
-        elif isinstance(n, ast.Call) and n.lineno in affected and (name := dotted(n.func)):
-            rows.append(("call", name, "call", n.lineno, None))
+            rows += [("import", module + a.name, "import", n.lineno, n.lineno, a.asname or a.name) for a in n.names]
+        elif isinstance(n, ast.Call) and (name := dotted(n.func)):
+            rows.append(("call", name, "call", n.lineno, n.lineno, None))
     return [(c, i, *r) for i, (c, *r) in enumerate(rows)]
 
 
-def python_rows(sources: DataFrame, affected: DataFrame) -> DataFrame:
-    """review_id, path, class, ord, name, kind, line_start, local_name of Python files; class "error" if unreadable.
+NODES = "digest string, class string, ord int, name string, kind string, line_start int, line_end int, local_name string"
+
 
-    Syntax trees have no form in Spark's functions, so files go through Python in Arrow batches, each by itself.
+def python_nodes(sources: DataFrame) -> DataFrame:
+    """NODES of distinct sources (digest, content), one row each; a source that cannot be parsed has one of class "error".
+
+    Syntax trees have no form in Spark's functions, so sources go through Python in Arrow batches, each by itself.
     """
-    lines = affected.groupBy("review_id", "path").agg(F.collect_set("line").alias("lines"))
-    rows = sources.join(lines, ["review_id", "path"], "left").select("review_id", "path", "content", "lines")
 
     def read(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                touched = set() if r.lines is None else {int(x) for x in r.lines}
                 try:
-                    got = _python_rows(r.path, r.content or "", touched)
+                    got = _python_nodes(r.content or "")
                 except (SyntaxError, ValueError, RecursionError):
-                    got = [("error", 0, None, None, None, None)]
-                out += [(r.review_id, r.path, *g) for g in got]
-            yield pd.DataFrame(out, columns=["review_id", "path", "class", "ord", "name", "kind", "line_start", "local_name"]).astype({"line_start": "Int32"})
+                    got = [("error", 0, None, None, None, None, None)]
+                out += [(r.digest, *g) for g in got]
+            names = [c.split()[0] for c in NODES.split(", ")]
+            yield pd.DataFrame(out, columns=names).astype({"line_start": "Int32", "line_end": "Int32"})
+
+    return sources.select("digest", "content").mapInPandas(read, NODES)
+
 
-    return rows.mapInPandas(read, "review_id long, path string, class string, ord int, name string, kind string, line_start int, local_name string")
+def python_rows(sources: DataFrame, affected: DataFrame) -> DataFrame:
+    """review_id, path, class, ord, name, kind, line_start, local_name of Python files; class "error" if unreadable.
+
+    Each distinct source is parsed once, by its digest, into a table of nodes with their lines; which of them a change
+    touches is found by joins: declarations that an affected line lies in, calls on affected lines, and all imports.
+    """
+    src = sources.select("review_id", "path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"))
+    distinct = sources.select(F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"), F.coalesce("content", F.lit("")).alias("content")).dropDuplicates(["digest"])
+    nodes = cut(python_nodes(distinct))
+    rows = src.join(nodes, "digest").drop("digest")
+    on = affected.select("review_id", "path", F.col("line").alias("line_start"))
+    calls = rows.filter("class = 'call'").join(on, ["review_id", "path", "line_start"], "left_semi")
+    out = touched(rows.filter("class = 'symbol'"), affected).unionByName(calls).unionByName(rows.filter("class in ('import', 'error')"))
+    place = F.row_number().over(W.partitionBy("review_id", "path").orderBy("ord")) - 1
+    return out.select("review_id", "path", "class", place.cast("int").alias("ord"), "name", "kind", "line_start", "local_name")
+
+
+def touched(intervals: DataFrame, affected: DataFrame) -> DataFrame:
+    """The rows of intervals (review_id, path, line_start, line_end, ...) in which an affected line lies.
+
+    Starts and lines are put in order, and one pass from the last to the first tells each start the next line from it
+    on: no interval meets all lines of its file.
+    """
+    columns = intervals.columns
+    row = F.struct(*columns)
+    starts = intervals.select("review_id", "path", F.col("line_start").alias("at"), F.lit(None).cast("int").alias("line"), row.alias("row"))
+    lines = affected.select("review_id", "path", F.col("line").cast("int").alias("at"), F.col("line").cast("int").alias("line"))
+    both = starts.unionByName(lines, allowMissingColumns=True)
+    later = W.partitionBy("review_id", "path").orderBy(F.desc("at"), F.desc_nulls_last("line")).rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("next", F.last("line", ignorenulls=True).over(later))
+    return both.filter("row is not null and next <= row.line_end").select("row.*").select(*columns)
 
 
 def evidence_cap(items: DataFrame, most: int = L.EVIDENCE_PER_FILE) -> tuple[DataFrame, DataFrame]:
@@ -180,13 +214,13 @@ def symbols_imports_calls(files: DataFrame, hunks: DataFrame, sources: DataFrame
     from . import patches
 
     live = files.filter("not is_binary").select("review_id", "path", "file_ord", "language")
-    affected = patches.affected_lines(hunks)
+    affected = cut(patches.affected_lines(hunks))
     src = sources.filter("content is not null").select("review_id", "path", "content").join(live, ["review_id", "path"])
-    py = python_rows(src.filter("language = 'python'").select("review_id", "path", "content"), affected)
+    py = cut(python_rows(src.filter("language = 'python'").select("review_id", "path", "content"), affected))
     lines = source_lines(src.filter("language in ('javascript', 'typescript')"))
-    decl = block_ends(lines, js_declarations(lines))
-    touched = decl.join(affected, ["review_id", "path"]).filter("line between line_no and end_line")
-    js_symbols = touched.select("review_id", "path", F.lit("symbol").alias("class"), (F.col("line_no") * 1000).alias("ord"), "name", "kind", F.col("line_no").alias("line_start")).distinct()
+    decl = cut(js_declarations(lines))
+    js_symbols = touched(block_ends(lines, decl).withColumnsRenamed({"line_no": "line_start", "end_line": "line_end"}), affected)
+    js_symbols = cut(js_symbols.select("review_id", "path", F.lit("symbol").alias("class"), (F.col("line_start") * 1000).alias("ord"), "name", "kind", "line_start"))
     ref = lambda df, kind: df.select("review_id", "path", F.lit(kind).alias("class"), (F.col("line_no") * 1000 + F.col("k")).alias("ord"), "name", F.lit(kind).alias("kind"), F.col("line_no").alias("line_start"))
     js = js_symbols.unionByName(ref(js_imports(lines), "import")).unionByName(ref(js_calls(lines, affected), "call"))
     found = py.filter("class <> 'error'").unionByName(js.withColumn("local_name", F.lit(None).cast("string"))).withColumn("origin", F.lit(L.EXTRACTED))
@@ -196,7 +230,7 @@ def symbols_imports_calls(files: DataFrame, hunks: DataFrame, sources: DataFrame
     fallback = hunk_symbols(hunks.join(done, ["review_id", "path"], "left_anti")).select(
         "review_id", "path", F.lit("symbol").alias("class"), F.col("hunk_ord").alias("ord"), "name", "kind", "line_start", F.lit(None).cast("string").alias("local_name"), "origin"
     )
-    kept, omitted = evidence_cap(found.unionByName(fallback), most)
+    kept, omitted = evidence_cap(cut(found.unionByName(fallback)), most)
     quoted = T.json_quoted(F.col("path"))
     note = lambda df, step, text: df.join(live.select("review_id", "path", "file_ord"), ["review_id", "path"]).select("review_id", "file_ord", F.lit(step).alias("step"), text.alias("note"))
     notes = note(broken, 2, F.concat(F.lit("Could not parse "), quoted, F.lit(" as Python; symbol extraction may be incomplete.")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from ..functions import lexicon as L
 from ..functions import paths as P
 
 
-def path_reason(path: Column, exclude: list[str] | None = None) -> Column:
+def path_reason(path: Column, exclude: list[str] | Column | None = None) -> Column:
     """Why a path is of low value, by fixed precedence; null if it is not."""
     in_dirs = lambda dirs: F.arrays_overlap(P.parents(path), F.array(*map(F.lit, dirs)))
     low = F.lower(P.name(path))
@@ -19,13 +20,42 @@ def path_reason(path: Column, exclude: list[str] | None = None) -> Column:
         minified = minified | low.endswith(s)
     out = F.when(in_dirs(L.GENERATED_DIRS), L.GENERATED).when(in_dirs(L.VENDORED_DIRS), L.VENDORED)
     out = out.when(P.name(path).isin(L.LOCKFILES), L.LOCKFILE).when(minified, L.MINIFIED)
-    return out.when(P.ignored(path, exclude), L.EXCLUDED) if exclude else out
+    return out if exclude is None else out.when(P.ignored(path, exclude), L.EXCLUDED)
 
 
-def with_filter_reason(files: DataFrame, exclude: list[str] | None = None) -> DataFrame:
-    """``files`` with filter_reason. A rename is filtered only if both its paths are, for the new path's reason."""
+def with_filter_reason(files: DataFrame, exclude: list[str] | None = None, settings: DataFrame | None = None) -> DataFrame:
+    """``files`` with filter_reason. A rename is filtered only if both its paths are, for the new path's reason.
+
+    settings (review_id, exclude array<string>, one row a review): exclusions of each review, in place of ``exclude``.
+    """
+    if settings is not None:
+        files = files.join(exclusions(settings).filter("problem is null").select("review_id", "_regex"), "review_id", "left")
+        exclude = F.col("_regex")
     new, old = path_reason(F.col("path"), exclude), path_reason(F.col("old_path"), exclude)
-    return files.withColumn("filter_reason", F.when(F.col("old_path").isNull() | old.isNotNull(), new))
+    return files.withColumn("filter_reason", F.when(F.col("old_path").isNull() | old.isNotNull(), new)).drop("_regex")
+
+
+def exclusions(settings: DataFrame) -> DataFrame:
+    """review_id, _regex, problem: the expression of each review's exclusions, or what is wrong with them.
+
+    Each distinct set of patterns is translated once, however many reviews have it. No patterns, or null: both null.
+    """
+    sets = settings.select("exclude").filter(F.size("exclude") > 0).distinct()
+
+    def translated(batches):
+        for pdf in batches:
+            rows = []
+            for patterns in pdf["exclude"]:
+                try:
+                    if None in list(patterns):
+                        raise ValueError("a pattern is null")
+                    rows.append((list(patterns), P.ignore_set_regex(patterns), None))
+                except ValueError as e:
+                    rows.append((list(patterns), None, str(e)))
+            yield pd.DataFrame(rows, columns=["exclude", "_regex", "problem"])
+
+    made = sets.mapInPandas(translated, "exclude array<string>, _regex string, problem string")
+    return settings.select("review_id", "exclude").join(made, "exclude", "left").select("review_id", "_regex", "problem")
 
 
 def classified(files: DataFrame) -> DataFrame:

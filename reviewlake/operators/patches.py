@@ -29,8 +29,8 @@ def header_numbers(header: Column) -> dict[str, Column]:
 def split_hunks(patches: DataFrame) -> DataFrame:
     """review_id, file_ord, path, hunk_ord, header, the four numbers, patch - from review_id, file_ord, path, patch.
 
-    A hunk runs from a line that begins with "@@ " to the next; what comes before the first is no hunk. Done within
-    the row, so nothing is shuffled.
+    A hunk runs from a line that begins with "@@ " to the next; what comes before the first is no hunk. A header that
+    cannot be read has nulls for numbers (``unreadable``). Done within the row, so nothing is shuffled.
     """
     p = patches.withColumn("_l", F.split("patch", "\n"))
     at = F.filter(F.transform("_l", lambda x, i: F.when(x.startswith("@@ "), i)), lambda i: i.isNotNull())
@@ -42,9 +42,12 @@ def split_hunks(patches: DataFrame) -> DataFrame:
     last = F.col("z.b") == F.size("_l")
     text = F.concat(F.array_join(lines, "\n"), F.when(last, "").otherwise("\n"))
     p = p.select("review_id", "file_ord", "path", "hunk_ord", F.regexp_replace(F.get(lines, F.lit(0)), r"[\r\n]+\z", "").alias("header"), text.alias("patch"))
-    return p.withColumns(header_numbers(F.col("header"))).withColumn(
-        "new_start", F.when(F.col("new_start").isNotNull(), F.col("new_start")).otherwise(F.raise_error(F.concat(F.lit("invalid hunk header: "), F.col("header"))))
-    )
+    return p.withColumns(header_numbers(F.col("header")))
+
+
+def unreadable(hunks: DataFrame) -> DataFrame:
+    """Reviews with hunks whose headers cannot be read: review_id, header (the first in order of file and hunk)."""
+    return hunks.filter("new_start is null").groupBy("review_id").agg(F.min_by("header", F.struct("file_ord", "hunk_ord")).alias("header"))
 
 
 def new_side(hunks: DataFrame) -> DataFrame:

@@ -102,9 +102,13 @@ def generate(files: DataFrame, usable: DataFrame, symbols: DataFrame, effects: D
     return behavior.unionByName(failure).unionByName(evidence)
 
 
-def first_questions(questions: DataFrame, n: int = 3) -> DataFrame:
-    """The first n questions of every review."""
+def first_questions(questions: DataFrame, n: int = 3, settings: DataFrame | None = None) -> DataFrame:
+    """The first n questions of every review; of those that settings (review_id, n_questions) name, so many."""
     if not 1 <= n <= 3:
         raise ValueError("one to three questions can be asked")
     order = Window.partitionBy("review_id").orderBy("question_ord")
-    return questions.withColumn("_p", F.row_number().over(order)).filter(F.col("_p") <= n).drop("_p")
+    placed = questions.withColumn("_p", F.row_number().over(order))
+    if settings is None:
+        return placed.filter(F.col("_p") <= n).drop("_p")
+    asked = placed.join(settings.select("review_id", "n_questions"), "review_id", "left").filter(F.col("_p") <= F.coalesce("n_questions", F.lit(n)))
+    return asked.select(*questions.columns)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..operators import extract, filtering, present, summarize
 from ..sources import config, feeds, git
 from ..sources.feeds import duck, feed
-from .queries_files import F_CTE, REASON, TEST, effects_with_evidence
+from . import review
+from .queries_files import F_CTE, REASON, TEST, effects_with_evidence, reason_sql
 from .queries_files import ORACLES as FILE_ORACLES
 
 QUERIES, ORACLES = {}, {}
@@ -51,7 +53,7 @@ def raw_metadata_parse(spark, sf):
             for review, output in zip(pdf["review_id"], pdf["output"], strict=True):
                 data = output.encode()
                 meta, _ = git.read_metadata(data[i : i + 1000] for i in range(0, len(data), 1000))
-                rows += [(review, i, *x) for i, x in enumerate(git.parse_metadata(meta))]
+                rows += [(review, i, x.path, x.old_path, x.status) for i, x in enumerate(git.parse_metadata(meta))]
             yield pd.DataFrame(rows, columns=["review_id", "ord", "path", "old_path", "status"])
 
     return _git_output(spark, sf).mapInPandas(read, "review_id long, ord int, path string, old_path string, status string")
@@ -69,7 +71,7 @@ def patch_framing(spark, sf):
                 chunks = iter([data[i : i + 777] for i in range(0, len(data), 777)])
                 meta, rest = git.read_metadata(chunks)
                 found = git.read_patches([rest, *chunks], lambda i: i % 3 != 1)
-                rows += [(review, i, path, patch.decode()) for i, ((path, _, _), patch) in enumerate(zip(git.parse_metadata(meta), found, strict=True)) if patch is not None]
+                rows += [(review, i, file.path, patch.decode()) for i, (file, (patch, _)) in enumerate(zip(git.parse_metadata(meta), found, strict=True)) if patch is not None]
             yield pd.DataFrame(rows, columns=["review_id", "ord", "path", "patch"])
 
     rows = _git_output(spark, sf).mapInPandas(read, "review_id long, ord int, path string, patch string")
@@ -89,47 +91,108 @@ FROM (SELECT DISTINCT CAST(user_id AS BIGINT) AS review_id FROM {events}) u
 )
 def config_parse(spark, sf):
     """Configuration texts, sound and unsound."""
-
-    def read(batches):
-        for pdf in batches:
-            rows = []
-            for review, text in zip(pdf["review_id"], pdf["text"], strict=True):
-                try:
-                    c, ok = config.parse(text), True
-                except config.ConfigError:
-                    c, ok = config.Config(), False
-                rows.append((review, ok, c.base, c.questions, c.include_uncommitted, "|".join(c.exclude)))
-            yield pd.DataFrame(rows, columns=["review_id", "valid", "base", "questions", "include_uncommitted", "exclude"]).astype({"questions": "Int32", "include_uncommitted": "boolean"})
-
-    schema = "review_id long, valid boolean, base string, questions int, include_uncommitted boolean, exclude string"
-    return feed(spark, sf, CONFIGS).mapInPandas(read, schema)
+    c = config.read_texts(feed(spark, sf, CONFIGS))
+    exclude = F.coalesce(F.array_join("exclude", "|"), F.lit(""))
+    return c.select("review_id", F.col("problem").isNull().alias("valid"), "base", F.col("n_questions").alias("questions"), "include_uncommitted", exclude.alias("exclude"))
 
 
 @query("SELECT DISTINCT user_id::BIGINT AS review_id, CASE WHEN user_id % 3 = 0 THEN 'cli' WHEN user_id % 2 = 0 THEN 'cfg' END AS base, coalesce(CASE WHEN user_id % 5 = 0 THEN 1 END, CASE WHEN user_id % 2 = 0 THEN 2 END, 3)::INT AS questions FROM events")
 def option_resolution(spark, sf):
-    """What commands say over what configurations say over defaults, by the rule that the command itself uses."""
+    """What commands say over what configurations say over defaults."""
+    ids = feed(spark, sf, "SELECT DISTINCT CAST(user_id AS BIGINT) AS review_id FROM {events}")
+    text = F.when(F.col("review_id") % 2 == 0, F.lit("base: cfg\nquestions: 2\n"))
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    said = ids.select("review_id", F.when(F.col("review_id") % 3 == 0, "cli").alias("base"), none("report_path", "string"), F.when(F.col("review_id") % 5 == 0, 1).alias("n_questions"), none("include_uncommitted", "boolean"))
+    return config.effective(said, config.read_texts(ids.withColumn("text", text))).select("review_id", "base", F.col("n_questions").alias("questions"))
+
+
+#: Exclusions of one review in three each, a third set that is no pattern, and reviews without a configuration.
+EXCLUDING = """
+SELECT review_id, CASE review_id % 5 WHEN 0 THEN 'exclude: ["*.go", tests/]' WHEN 1 THEN 'exclude: [src/**]' || chr(10) || 'questions: 2' WHEN 2 THEN 'exclude: ["[a"]' WHEN 3 THEN 'questions: 1' END AS text
+FROM (SELECT DISTINCT CAST(user_id AS BIGINT) AS review_id FROM {events}) u
+"""
+
+
+OWN_SET = "CASE review_id % 5 WHEN 0 THEN '^(?:.*/)?[^/]*\\.go(?:/.*)?$|^(?:.*/)?tests/.+$' WHEN 1 THEN '^src/.+$' END"
+OWN = f"WHEN regexp_matches({{p}}, e) THEN '{L.EXCLUDED}'"
+OWN_REASON = f"CASE WHEN old_path IS NULL OR {reason_sql('old_path', OWN.format(p='old_path'))} IS NOT NULL THEN {reason_sql('path', OWN.format(p='path'))} END"
+
+
+@query(
+    f"{F_CTE}, x AS (SELECT *, {OWN_SET} AS e FROM f WHERE review_id % 5 <> 2) SELECT review_id, file_ord, coalesce({OWN_REASON}, 'kept') AS reason FROM x"
+)
+def exclusions_by_review(spark, sf):
+    """Why files are left out where each review has exclusions of its own; reviews whose exclusions are no patterns have no rows."""
+    settings = config.read_texts(feed(spark, sf, EXCLUDING))
+    files = feed(spark, sf, feeds.FILES).join(settings.filter("problem is null").select("review_id"), "review_id", "left_semi")
+    return filtering.with_filter_reason(files, settings=settings).select("review_id", "file_ord", F.coalesce("filter_reason", F.lit("kept")).alias("reason"))
+
+
+MOST_KEPT = 30
+
+
+def _failing_feed(spark, sf):
+    """Reviews of which some have exclusions that are no patterns, too many questions, too many files, or a hunk header that cannot be read."""
+    settings = config.read_texts(feed(spark, sf, EXCLUDING)).withColumn("n_questions", F.when(F.col("review_id") % 11 == 0, 7).otherwise(F.col("n_questions")))
+    settings = settings.withColumn("exclude", F.when(F.col("problem").isNotNull(), F.array(F.lit("[a"))).otherwise(F.col("exclude"))).withColumn("follow_up", F.lit(True))
+    files = feed(spark, sf, feeds.FILES)
+    header = F.when((F.col("review_id") % 4 == 0) & (F.col("file_ord") % 3 == 0), F.concat(F.lit("@@ of "), F.col("path"), F.lit(" @@"))).otherwise(F.lit("@@ -1 +1 @@"))
+    raw = files.select("review_id", "file_ord", F.concat(F.lit("diff --git a b\n"), header, F.lit("\n+x\n")).alias("patch"))
+    return review.Feed(files.select("review_id").distinct(), files, raw, files.limit(0), settings)
+
+
+@query(
+    f"{F_CTE}, x AS (SELECT *, {OWN_SET} AS e FROM f), k AS (SELECT * FROM (SELECT *, {OWN_REASON} AS r FROM x) WHERE r IS NULL), "
+    "c AS (SELECT review_id, count(*) AS n FROM k GROUP BY review_id), h AS (SELECT review_id, arg_min(path, file_ord) AS path FROM k WHERE review_id % 4 = 0 AND file_ord % 3 = 0 GROUP BY review_id), "
+    "u AS (SELECT DISTINCT review_id FROM f) SELECT review_id, CASE WHEN cfg THEN 'ConfigError' ELSE 'CollectionFailed' END AS error, "
+    f"CASE WHEN cfg THEN 'The configuration is invalid.' WHEN n > {MOST_KEPT} THEN 'More than {MOST_KEPT} files are left to analyse.' ELSE 'A hunk header cannot be read.' END AS message, "
+    "CASE WHEN review_id % 11 = 0 THEN '`questions` must be from 1 to 3' WHEN review_id % 5 = 2 THEN 'unclosed class in ' || chr(39) || '[a' || chr(39) "
+    f"WHEN n > {MOST_KEPT} THEN n || ' files' ELSE '@@ of ' || path || ' @@' END AS details "
+    f"FROM (SELECT *, review_id % 5 = 2 OR review_id % 11 = 0 AS cfg FROM u) LEFT JOIN c USING (review_id) LEFT JOIN h USING (review_id) WHERE cfg OR n > {MOST_KEPT} OR path IS NOT NULL"
+)
+def failed_reviews(spark, sf):
+    """What stops single reviews among many, each with its first reason; all others go on."""
+    failures, *_ = review.admitted(_failing_feed(spark, sf), review.Options(changed_files=MOST_KEPT))
+    return failures.select("review_id", "error", "message", "details")
+
+
+#: Python sources, and what a change of lines 2, 4 and 7 of them touches: class, name, kind, line, local name.
+SOURCES = [
+    ("import requests as r\ndef f(x):\n    return r.post(x)\n", [("import", "requests", "import", 1, "r"), ("symbol", "f", "function", 2, None)]),
+    ("@decorated(1)\ndef f():\n    pass\n    g()\n", [("symbol", "f", "function", 2, None), ("call", "g", "call", 4, None)]),
+    ("class A:\n    def m(self):\n        return self.a.b()\n\n    async def n(self):\n        await x()\n        y.z(w())\n", [("symbol", "A", "class", 1, None), ("symbol", "m", "function", 2, None), ("symbol", "n", "async function", 5, None), ("call", "y.z", "call", 7, None), ("call", "w", "call", 7, None)]),
+    ("from . import a, b as c\nfrom ..d import e\nfrom .f.g import h as i\nimport j.k\n", [("import", ".a", "import", 1, "a"), ("import", ".b", "import", 1, "c"), ("import", "..d.e", "import", 2, "e"), ("import", ".f.g.h", "import", 3, "i"), ("import", "j.k", "import", 4, "j")]),
+    ("def broken(:\n    pass\n", [("error", None, None, None, None)]),
+    ("", []),
+    ("def outer():\n    def inner():\n        return 1\n    return inner()\n\ndef other():\n    pass\n", [("symbol", "outer", "function", 1, None), ("symbol", "inner", "function", 2, None), ("call", "inner", "call", 4, None), ("symbol", "other", "function", 6, None)]),
+    ("x = [\n    f(y) for y in z()\n]\nw = (lambda v: v)(1)\n", [("call", "f", "call", 2, None), ("call", "z", "call", 2, None)]),
+    ("def a(): pass\nasync def b(): await c.d.e()\nclass F(G): pass\n", [("symbol", "b", "async function", 2, None), ("call", "c.d.e", "call", 2, None)]),
+    ("if True:\n    import lazy\nelse:\n    from typing import *\nf()()\n", [("import", "lazy", "import", 2, "lazy"), ("import", "typing.*", "import", 4, "*")]),
+    ("# nothing\n'''text\nf()\n'''\ndef late():\n    return 0\n", []),
+    ("class Ü:\n    ä = ö(1)\n    @property\n    def ß(self):\n        return 1\n", [("symbol", "Ü", "class", 1, None), ("call", "ö", "call", 2, None), ("symbol", "ß", "function", 4, None)]),
+]
+
+
+def _source_sql(value: str) -> str:
+    """A text as SQL of both engines."""
+    return " || chr(10) || ".join("'" + line.replace("'", "' || chr(39) || '") + "'" for line in value.split("\n"))
 
-    def read(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf["review_id"].tolist():
-                written = config.Config(base="cfg", questions=2) if r % 2 == 0 else config.Config()
-                e = config.resolve(written, base="cli" if r % 3 == 0 else None, questions=1 if r % 5 == 0 else None)
-                rows.append((r, e.base, e.questions))
-            yield pd.DataFrame(rows, columns=["review_id", "base", "questions"])
 
-    return feed(spark, sf, "SELECT DISTINCT CAST(user_id AS BIGINT) AS review_id FROM {events}").mapInPandas(read, "review_id long, base string, questions int")
+_ROWS = " UNION ALL ".join(
+    f"SELECT {k} AS k, '{c}' AS class, {i} AS ord, " + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in rest)
+    for k, (_, rows) in enumerate(SOURCES) for i, (c, *rest) in enumerate(rows)
+)
 
 
 @query(
-    "WITH e AS (SELECT event_id::BIGINT AS review_id, event_id % 9 AS k FROM events) SELECT review_id, 'src/m.py' AS path, 'import' AS class, 0::INT AS ord, 'requests' AS name, 'import' AS kind, 1::INT AS line_start, 'r' AS local_name FROM e "
-    "UNION ALL SELECT review_id, 'src/m.py', 'symbol', 1, 'f' || k, 'function', 2, NULL FROM e UNION ALL SELECT review_id, 'src/m.py', 'call', 2, 'r.post', 'call', 3, NULL FROM e"
+    f"WITH w(k, class, ord, name, kind, line_start, local_name) AS ({_ROWS}) SELECT e.event_id::BIGINT AS review_id, 'src/m.py' AS path, class, ord::INT AS ord, name, kind, line_start::INT AS line_start, local_name "
+    f"FROM events e JOIN w ON w.k = e.event_id % {len(SOURCES)}"
 )
 def python_symbols(spark, sf):
-    """Symbols, imports and calls of Python sources through syntax trees; the sources are made from events."""
-    sql = "SELECT CAST(event_id AS BIGINT) AS review_id, 'src/m.py' AS path, 'import requests as r' || chr(10) || 'def f' || CAST(event_id % 9 AS STRING) || '(x):' || chr(10) || '    return r.post(x)' || chr(10) AS content FROM {events}"
-    src = feed(spark, sf, sql)
-    affected = src.select("review_id", "path", F.lit(3).alias("line"))
+    """Symbols, imports and calls of twelve unlike Python sources that events change; each source is parsed once."""
+    text = " ".join(f"WHEN {k} THEN {_source_sql(t)}" for k, (t, _) in enumerate(SOURCES))
+    src = feed(spark, sf, f"SELECT CAST(event_id AS BIGINT) AS review_id, 'src/m.py' AS path, CASE event_id % {len(SOURCES)} {text} END AS content FROM {{events}}")
+    affected = src.select("review_id", "path", F.explode(F.array(*map(F.lit, (2, 4, 7)))).alias("line"))
     return extract.python_rows(src, affected)
 
 

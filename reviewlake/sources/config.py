@@ -5,7 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pandas as pd
 import yaml
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 from ..functions.paths import ignore_regex
@@ -93,3 +96,37 @@ def resolve(config: Config, *, base=None, report_path=None, questions=None, incl
     first = lambda *values: next((v for v in values if v is not None), None)
     report = anchored(Path(report_path), directory) if report_path is not None else Path(config.report_path) if config.report_path else directory / "review-report.md"
     return Effective(first(base, config.base), report, first(questions, config.questions, 3), first(include_uncommitted, config.include_uncommitted, False), config.exclude)
+
+
+SETTINGS = "base string, report_path string, n_questions int, include_uncommitted boolean, exclude array<string>, problem string"
+
+
+def read_texts(texts: DataFrame) -> DataFrame:
+    """review_id and SETTINGS of configuration texts (review_id, text); problem tells what is wrong, and all else is null
+    then. Each distinct text is parsed once, however many reviews have it. A null text is no configuration."""
+
+    def parsed(batches):
+        for pdf in batches:
+            rows = []
+            for text in pdf["text"]:
+                try:
+                    c = parse(text)
+                    rows.append((text, c.base, c.report_path, c.questions, c.include_uncommitted, list(c.exclude), None))
+                except ConfigError as e:
+                    rows.append((text, None, None, None, None, None, e.details or e.message))
+            out = pd.DataFrame(rows, columns=["text", "base", "report_path", "n_questions", "include_uncommitted", "exclude", "problem"])
+            yield out.astype({"n_questions": "Int32", "include_uncommitted": "boolean"})
+
+    found = texts.filter("text is not null").select("text").distinct().mapInPandas(parsed, f"text string, {SETTINGS}")
+    return texts.select("review_id", "text").join(found, "text", "left").drop("text")
+
+
+def effective(said: DataFrame, written: DataFrame) -> DataFrame:
+    """The options of each review: what the command says (review_id, base, report_path, n_questions, include_uncommitted,
+    any of them null), else what is written (SETTINGS), else the default. Every review that either names has a row."""
+    both = said.alias("s").join(written.alias("w"), "review_id", "full_outer")
+    first = lambda c, default=None: F.coalesce(f"s.{c}", f"w.{c}", F.lit(default)).alias(c)
+    return both.select(
+        "review_id", first("base"), first("report_path", "review-report.md"), first("n_questions", 3).cast("int").alias("n_questions"), first("include_uncommitted", False),
+        F.coalesce("w.exclude", F.array().cast("array<string>")).alias("exclude"), F.col("w.problem").alias("problem"),
+    )

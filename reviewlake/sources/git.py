@@ -1,9 +1,17 @@
-"""A Git repository as a change feed.
+"""Git repositories as a change feed.
 
-``GitChanges`` is a data source of which every repository is one partition, so many are read at once; the option
-``table`` picks the relation. All of a review is read at one object id, so commits made meanwhile change nothing.
-The limits are part of what is computed: they decide which patches and sources there are. Git's output is read bit by
-bit: metadata beyond its limit stop it while it is read, and of the patches only the wanted ones are ever held.
+Three steps, each a job over many repositories whose result is a table in the shared folder:
+
+1. ``pinned``: a row for each repository with the object ids of what is compared, and its configuration. All that
+   follows reads at these ids, so commits made meanwhile change nothing.
+2. ``read_changes``: one ``git diff`` for each repository gives the changed files and their patches, so the two cannot
+   belong to different commits. The file filter and the patch budget hold while Git's output arrives: of patches that
+   are filtered, or that cross a limit, no more is held than what had come before that was known.
+3. ``read_sources``: the contents that extraction needs, by blob. A repository's blobs are dealt over tasks by some
+   thousands, each with one ``git cat-file``, so a large repository is read by many.
+
+A repository that fails, at whatever step, is a row of ``failures`` and leaves the others alone. A working tree has no
+object id; its contents are read in step 2, right after the diff.
 """
 
 from __future__ import annotations
@@ -18,21 +26,25 @@ from dataclasses import asdict, dataclass
 from itertools import chain
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..errors import BaseNotFound, CollectionFailed, DetachedHead, GitFailed, NotARepository
+from ..errors import FAILURE, BaseNotFound, CollectionFailed, DetachedHead, GitFailed, NotARepository, ReviewError, failure_row
 from ..functions import lexicon as L
+from ..functions.paths import Filter
 from ..functions.staging import cut
+from . import config
 
-TABLES = {
-    "reviews": "review_id long, repo_root string, current_branch string, base_branch string, merge_base string, source_revision string, includes_uncommitted boolean",
-    "files": "review_id long, file_ord int, path string, old_path string, status string, language string",
-    "raw_patches": "review_id long, file_ord int, patch string",
-    "sources": "review_id long, path string, content string, note string",
-}
 STATUS = {"A": "added", "D": "deleted", "M": "modified", "T": "modified", "R": "renamed"}
+CONFIG_FILE = ".reviewlake.yml"
+BLOBS_A_TASK = 2000
+
+#: How changes are listed, whatever the user's configuration says.
+DIFF = (
+    "-c", "diff.noprefix=false", "-c", "diff.mnemonicPrefix=false", "-c", "diff.orderFile=/dev/null", "-c", "diff.suppressBlankEmpty=false", "-c", "diff.interHunkContext=0",
+    "diff", "--raw", "-z", "--no-abbrev", "--patch", "--no-color", "--no-ext-diff", "--no-textconv", "--find-renames", "--submodule=short", "--unified=80", "--full-index",
+)
 
 
 @dataclass(frozen=True)
@@ -42,26 +54,31 @@ class Repo:
     review_id: int
     root: str
     base: str | None = None
-    include_uncommitted: bool = False
+    include_uncommitted: bool | None = None
+    questions: int | None = None
+    follow_up: bool | None = None
+    executable: str = "git"
+
+
+def _environment() -> dict[str, str]:
+    return os.environ | {"LC_ALL": "C", "LANG": "C", "GIT_OPTIONAL_LOCKS": "0"}
 
 
-def git(root: str, *args: str, ok: tuple[int, ...] = (0,)) -> bytes:
-    env = os.environ | {"LC_ALL": "C", "LANG": "C", "GIT_OPTIONAL_LOCKS": "0"}
+def git(root: str, *args: str, ok: tuple[int, ...] = (0,), executable: str = "git") -> bytes:
     try:
-        p = subprocess.run(["git", "-C", root, *args], capture_output=True, env=env, check=False)
+        p = subprocess.run([executable, "-C", root, *args], capture_output=True, env=_environment(), check=False)
     except OSError as e:
         raise GitFailed("Git could not be started.", "Install Git and make it reachable.", str(e)) from e
     if p.returncode not in ok:
-        raise GitFailed(f"`git {args[0]}` failed.", "See the details.", p.stderr.decode(errors="replace").strip())
+        raise GitFailed(f"`git {_command(args)}` failed.", "See the details.", p.stderr.decode(errors="replace").strip())
     return p.stdout
 
 
-def streamed(root: str, *args: str, size: int = 65_536) -> Iterator[bytes]:
+def streamed(root: str, *args: str, size: int = 65_536, executable: str = "git") -> Iterator[bytes]:
     """What Git prints, bit by bit. Whoever stops reading ends the process."""
-    env = os.environ | {"LC_ALL": "C", "LANG": "C", "GIT_OPTIONAL_LOCKS": "0"}
     with tempfile.TemporaryFile() as errors:
         try:
-            p = subprocess.Popen(["git", "-C", root, *args], stdout=subprocess.PIPE, stderr=errors, env=env)
+            p = subprocess.Popen([executable, "-C", root, *args], stdout=subprocess.PIPE, stderr=errors, env=_environment())
         except OSError as e:
             raise GitFailed("Git could not be started.", "Install Git and make it reachable.", str(e)) from e
         try:
@@ -69,7 +86,7 @@ def streamed(root: str, *args: str, size: int = 65_536) -> Iterator[bytes]:
                 yield data
             if p.wait():
                 errors.seek(0)
-                raise GitFailed(f"`git {args[0]}` failed.", "See the details.", errors.read().decode(errors="replace").strip())
+                raise GitFailed(f"`git {_command(args)}` failed.", "See the details.", errors.read().decode(errors="replace").strip())
         finally:
             if p.poll() is None:
                 p.kill()
@@ -77,26 +94,34 @@ def streamed(root: str, *args: str, size: int = 65_536) -> Iterator[bytes]:
             p.stdout.close()
 
 
+def _command(args: tuple[str, ...]) -> str:
+    """The name of Git's command, after settings of this call."""
+    i = 0
+    while args[i] == "-c":
+        i += 2
+    return args[i]
+
+
 def _text(b: bytes) -> str:
     """Text of bytes; what is not UTF-8 is replaced, since Spark strings hold no other bytes."""
     return b.decode("utf-8", "replace")
 
 
-def detect(root: str) -> tuple[str, str]:
+def detect(root: str, executable: str = "git") -> tuple[str, str]:
     """(root, current branch)."""
     try:
-        top = _text(git(root, "rev-parse", "--show-toplevel")).strip()
+        top = _text(git(root, "rev-parse", "--show-toplevel", executable=executable)).strip()
     except GitFailed as e:
         raise NotARepository("This folder is in no Git repository.", "Run inside a repository.", e.details) from e
-    branch = _text(git(top, "branch", "--show-current")).strip()
+    branch = _text(git(top, "branch", "--show-current", executable=executable)).strip()
     if not branch:
         raise DetachedHead("HEAD is detached.", "Check out a branch.")
     return top, branch
 
 
-def base_branch(root: str, wanted: str | None) -> str:
+def base_branch(root: str, wanted: str | None, executable: str = "git") -> str:
     """The wanted base if it exists, else main or master."""
-    exists = lambda ref: subprocess.run(["git", "-C", root, "rev-parse", "--verify", "--quiet", f"{ref}^{{commit}}"], capture_output=True, check=False).returncode == 0
+    exists = lambda ref: bool(git(root, "rev-parse", "--verify", "--quiet", f"{ref}^{{commit}}", ok=(0, 1, 128), executable=executable).strip())
     if wanted is not None:
         if not wanted.strip() or wanted.startswith("-") or not exists(wanted):
             raise BaseNotFound(f"There is no base `{wanted}`.", "Name an existing branch.")
@@ -107,25 +132,36 @@ def base_branch(root: str, wanted: str | None) -> str:
     raise BaseNotFound("Neither main nor master exists.", "Name the base branch.")
 
 
-def merge_base(root: str, base: str, target: str) -> str:
-    found = [x for x in _text(git(root, "merge-base", base, target, ok=(0, 1))).splitlines() if x.strip()]
+def merge_base(root: str, base: str, target: str, executable: str = "git") -> str:
+    found = [x for x in _text(git(root, "merge-base", base, target, ok=(0, 1), executable=executable)).splitlines() if x.strip()]
     if not found:
         raise CollectionFailed("The branches have no common history.", "Choose a related base.")
     return found[0].strip()
 
 
-def parse_metadata(data: bytes, most: int = L.RAW_FILES) -> list[tuple[str, str | None, str]]:
-    """(path, old path, status) of NUL-separated raw records."""
+@dataclass(frozen=True)
+class Changed:
+    """A changed file, with the mode and blob of its new side."""
+
+    path: str
+    old_path: str | None
+    status: str
+    mode: str
+    blob: str
+
+
+def parse_metadata(data: bytes, most: int = L.RAW_FILES) -> list[Changed]:
+    """The files of NUL-separated raw records."""
     fields = data.split(b"\0") if data else []
     out, i = [], 0
     while i < len(fields):
-        head = fields[i]
-        code = _text(head.rpartition(b" ")[2])[:1]
+        head = _text(fields[i]).split(" ")  # old mode, new mode, old blob, new blob, status
+        code = head[-1][:1]
         n = 2 if code == "R" else 1
-        if not head.startswith(b":") or code not in STATUS or i + n >= len(fields):
-            raise CollectionFailed("Changed-file metadata is malformed.", details=_text(head))
+        if len(head) != 5 or not head[0].startswith(":") or code not in STATUS or i + n >= len(fields):
+            raise CollectionFailed("Changed-file metadata is malformed.", details=" ".join(head))
         names = [_text(x) for x in fields[i + 1 : i + 1 + n]]
-        out.append((names[-1], names[0] if n == 2 else None, STATUS[code]))
+        out.append(Changed(names[-1], names[0] if n == 2 else None, STATUS[code], head[1], head[3]))
         i += 1 + n
         if len(out) > most:
             raise CollectionFailed(f"More than {most:,} files changed.", "Compare with a nearer base.")
@@ -148,29 +184,55 @@ def read_metadata(chunks: Iterable[bytes], most: int = L.METADATA_BYTES, end: by
     raise CollectionFailed("Changed-file metadata is incomplete or too large.", "Compare with a nearer base.", f"limit {most:,} bytes")
 
 
-def read_patches(chunks: Iterable[bytes], wanted: Callable[[int], bool] = lambda i: True) -> Iterator[bytes | None]:
-    """The patches, each from a line "diff --git " on; None for those that are not wanted, which are not held."""
+def read_patches(chunks: Iterable[bytes], wanted: Callable[[int], bool] = lambda i: True, per_file: int = L.PATCH_BYTES, total: int = L.TOTAL_PATCH_BYTES) -> Iterator[tuple[bytes | None, str | None]]:
+    """(patch, limit) of each file, each patch from a line "diff --git " on.
+
+    The budget is greedy in Git's order: a patch that crosses a limit is left out whole and takes nothing from it, and
+    its limit is named ("file", or "aggregate" for what the patches before it have left). No more of it is held than
+    had come when it crossed. Patches that are not wanted are (None, None), take nothing, and are not held.
+    """
     marker = b"\ndiff --git "
-    tail, i, held = bytearray(b"\n"), -1, []
+    tail, i, held, n, why, left = bytearray(b"\n"), -1, [], 0, None, total
+
+    def take(part: bytes) -> None:
+        nonlocal n, why
+        if why is not None or not wanted(i):
+            return
+        n += len(part)
+        if n > min(per_file, left):
+            why = "file" if per_file <= left else "aggregate"
+            held.clear()
+        else:
+            held.append(part)
+
+    def done() -> tuple[bytes | None, str | None]:
+        nonlocal held, n, why, left
+        out = (None, why) if why is not None or not wanted(i) else (b"".join(held), None)
+        left -= 0 if out[0] is None else n
+        held, n, why = [], 0, None
+        return out
+
     for c in chunks:
         tail += c
         at = 0
         while (found := tail.find(marker, at)) >= 0:
             if i >= 0:
-                yield b"".join([*held, tail[at : found + 1]]) if wanted(i) else None
-            i, held, at = i + 1, [], found + 1
+                take(bytes(tail[at : found + 1]))
+                yield done()
+            i, at = i + 1, found + 1
         safe = max(at, len(tail) - len(marker) + 1)  # a marker may begin in what is left
-        if i >= 0 and wanted(i):
-            held.append(bytes(tail[at:safe]))
+        if i >= 0:
+            take(bytes(tail[at:safe]))
         del tail[:safe]
     if i >= 0:
-        yield b"".join([*held, tail]) if wanted(i) else None
+        take(bytes(tail))
+        yield done()
 
 
 def split_output(data: bytes, most_metadata: int = L.METADATA_BYTES) -> tuple[bytes, list[bytes]]:
     """(metadata, patches) of output that is at hand."""
     meta, rest = read_metadata([data] if data else [], most_metadata)
-    return meta, list(read_patches([rest]))
+    return meta, [p for p, _ in read_patches([rest])]
 
 
 def _notes(path: str, most: int) -> tuple[str, str, str, str]:
@@ -204,134 +266,197 @@ def read_working(root: str, path: str, most: int = L.SOURCE_BYTES) -> tuple[str
     return (None, large) if s.st_size > most else _decoded(full.read_bytes(), not_text)
 
 
-def read_revision(root: str, revision: str, paths: list[str], most: int = L.SOURCE_BYTES, at_once: int = 500) -> Iterator[tuple[str, str | None, str | None]]:
-    """(path, content, note) of files of a revision. Links, other special files and large files are not read.
+def read_blobs(root: str, wanted: Iterable[tuple[str, str, str]], most: int = L.SOURCE_BYTES, executable: str = "git") -> Iterator[tuple[str, str | None, str | None]]:
+    """(path, content, note) of (path, mode, blob). Links, other special files and large files are not read.
 
-    However many the files, one process lists some hundreds of them and one reads all; one file is held at a time.
+    One process reads all, and one file is held at a time.
     """
-    found: dict[str, list[bytes]] = {}
-    for i in range(0, len(paths), at_once):
-        for entry in git(root, "ls-tree", "-z", "-l", revision, "--", *paths[i : i + at_once]).split(b"\0"):
-            head, sep, name = entry.partition(b"\t")
-            if sep:
-                found[_text(name)] = head.split()  # mode, kind, object, size
-    env = os.environ | {"LC_ALL": "C", "LANG": "C", "GIT_OPTIONAL_LOCKS": "0"}
-    reader = subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env=env)
+    reader = None
     try:
-        for path in paths:
+        for path, mode, blob in wanted:
             large, special, missing, not_text = _notes(path, most)
-            entry = found.get(path)
-            if entry is None:
-                yield path, None, missing
-            elif entry[1] != b"blob" or not entry[0].startswith(b"100"):
+            if not mode.startswith("100"):
                 yield path, None, special
-            elif int(entry[3]) > most:
+                continue
+            if reader is None:
+                reader = subprocess.Popen([executable, "-C", root, "cat-file", "--batch-command"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env=_environment())
+            ask = lambda what, blob=blob: (reader.stdin.write(f"{what} {blob}\n".encode()), reader.stdin.flush(), reader.stdout.readline().split())[2]
+            answer = ask("info")
+            if answer[1:2] == [b"missing"]:
+                yield path, None, missing
+            elif len(answer) != 3:
+                raise GitFailed("`git cat-file` failed.", "See the details.", _text(b" ".join(answer)))
+            elif int(answer[2]) > most:
                 yield path, None, large
             else:
-                reader.stdin.write(entry[2] + b"\n")
-                reader.stdin.flush()
-                answer = reader.stdout.readline().split()
-                if len(answer) != 3:
-                    raise GitFailed("`git cat-file` failed.", "See the details.", _text(b" ".join(answer)))
-                data = reader.stdout.read(int(answer[2]))
+                data = reader.stdout.read(int(ask("contents")[2]))
                 reader.stdout.read(1)
                 yield path, *_decoded(data, not_text)
     finally:
-        reader.stdin.close()
-        reader.kill()
-        reader.wait()
-        reader.stdout.close()
+        if reader is not None:
+            reader.stdin.close()
+            reader.kill()
+            reader.wait()
+            reader.stdout.close()
 
 
 def read_source(root: str, revision: str, path: str, working_tree: bool, most: int = L.SOURCE_BYTES) -> tuple[str | None, str | None]:
     """(content, note) of one file: one of them."""
     if working_tree:
         return read_working(root, path, most)
-    return next(read_revision(root, revision, [path], most))[1:]
-
-
-def collect(repo: Repo, table: str, wanted: frozenset[int] | None = None):
-    """Rows of one relation of a repository; of the patches those of the wanted ordinals, or all."""
-    root, branch = detect(repo.root)
-    base = base_branch(root, repo.base)
-    revision = _text(git(root, "rev-parse", "--verify", "HEAD^{commit}")).strip()
-    start = merge_base(root, base, revision)
-    if table == "reviews":
-        yield repo.review_id, root, branch, base, start, revision, repo.include_uncommitted
-        return
-    ends = [start] if repo.include_uncommitted else [start, revision]
-    # fixed values: how changes are listed
-    how = ["--find-renames", "--unified=80", "--no-color", "--no-ext-diff", "--no-textconv", "--full-index"]
-    if table == "raw_patches":
-        out = streamed(root, "diff", "--raw", "-z", "--patch", *how, *ends, "--")
+    head, sep, _ = git(root, "--literal-pathspecs", "ls-tree", "-z", "--full-tree", revision, "--", path).partition(b"\t")
+    if not sep:
+        return None, _notes(path, most)[2]
+    mode, _, blob = _text(head).split()
+    return next(read_blobs(root, [(path, mode, blob)], most))[1:]
+
+
+def has_source(status: str, path: str) -> bool:
+    """Whether a changed file's content is read: it is there, and of a language that symbols are extracted from."""
+    return status != "deleted" and L.LANGUAGE_OF_SUFFIX.get(Path(path).suffix.lower()) in L.EXTRACTOR_LANGUAGES
+
+
+PINS = (
+    "review_id long, repo_root string, current_branch string, base_branch string, merge_base string, source_revision string, includes_uncommitted boolean, "
+    f"exclude array<string>, n_questions int, follow_up boolean, report_path string, executable string, failure {FAILURE}"
+)
+
+
+def pin(repo: Repo) -> dict:
+    """The row of PINS of a repository; what the caller says goes before what its configuration says."""
+    out = {"review_id": repo.review_id, "executable": repo.executable}
+    try:
+        root, branch = detect(repo.root, repo.executable)
+        o = config.resolve(config.load(Path(root) / CONFIG_FILE), base=repo.base, questions=repo.questions, include_uncommitted=repo.include_uncommitted, directory=Path(root))
+        base = base_branch(root, o.base, repo.executable)
+        revision = _text(git(root, "rev-parse", "--verify", "--end-of-options", "HEAD^{commit}", executable=repo.executable)).strip()
+        return out | {
+            "repo_root": root, "current_branch": branch, "base_branch": base, "merge_base": merge_base(root, base, revision, repo.executable), "source_revision": revision,
+            "includes_uncommitted": o.include_uncommitted, "exclude": list(o.exclude), "n_questions": o.questions, "follow_up": repo.follow_up is not False, "report_path": str(o.report_path),
+        }
+    except ReviewError as e:
+        return out | {"failure": failure_row(e)}
+
+
+def pinned(spark: SparkSession, repos: list[Repo] | DataFrame) -> DataFrame:
+    """A row of PINS for each repository (a list, or rows with the fields of Repo), written to the shared folder."""
+    fields = "review_id long, root string, base string, include_uncommitted boolean, questions int, follow_up boolean, executable string"
+    rows = repos if isinstance(repos, DataFrame) else spark.createDataFrame([tuple(asdict(r).values()) for r in repos], fields)
+
+    def pins(batches):
+        for pdf in batches:
+            of = lambda r: {k: None if not isinstance(v, str) and pd.isna(v) else v for k, v in r.items()}
+            yield _frame([pin(Repo(**of(r))) for r in pdf.to_dict("records")], PINS)
+
+    return cut(_spread(rows).mapInPandas(pins, PINS))
+
+
+def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
+    """Rows as a frame with all columns of the schema (failure, the last, has fields of its own), nulls where a row has none."""
+    names = [c.split()[0] for c in schema.partition("failure ")[0].split(", ") if c] + ["failure"]
+    return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Repositories dealt over as many tasks as the cluster runs at once, four times over: some take longer than others."""
+    return rows.repartition(max(1, 4 * rows.sparkSession.sparkContext.defaultParallelism), "review_id")
+
+
+CHANGES = f"review_id long, relation string, file_ord int, path string, old_path string, status string, mode string, blob string, text string, note string, failure {FAILURE}"
+
+
+def changes(pin: dict, per_file: int = L.PATCH_BYTES, total: int = L.TOTAL_PATCH_BYTES) -> Iterator[dict]:
+    """The rows of CHANGES of one pinned repository, from one diff; a failure's row is the last."""
+    of = lambda relation, **x: {"review_id": pin["review_id"], "relation": relation, **x}
+    root, executable = pin["repo_root"], pin["executable"]
+    ends = [pin["merge_base"]] if pin["includes_uncommitted"] else [pin["merge_base"], pin["source_revision"]]
+    try:
+        out = streamed(root, *DIFF, *ends, "--", executable=executable)
         meta, rest = read_metadata(out)
-        n_files, n_patches = len(parse_metadata(meta)), 0
-        for i, patch in enumerate(read_patches(chain([rest], out), lambda i: wanted is None or i in wanted)):
-            n_patches += 1
-            if patch is not None:
-                yield repo.review_id, i, _text(patch)
-        if n_files != n_patches:
-            raise CollectionFailed("Changed files and patches do not match.", details=f"{n_files} files, {n_patches} patches")
-        return
-    # without patches the metadata is all there is, each path ended by a NUL
-    meta, _ = read_metadata(chain(streamed(root, "diff", "--raw", "-z", *how, *ends, "--"), [b"\0"]))
-    listed = parse_metadata(meta)
-    if table == "files":
-        yield from ((repo.review_id, i, path, old, status, None) for i, (path, old, status) in enumerate(listed))
-        return
-    read = [p for p, _, status in listed if status != "deleted" and L.LANGUAGE_OF_SUFFIX.get(Path(p).suffix.lower()) in L.EXTRACTOR_LANGUAGES]
-    rows = ((p, *read_working(root, p)) for p in read) if repo.include_uncommitted else read_revision(root, revision, read)
-    yield from ((repo.review_id, *r) for r in rows)
-
-
-@dataclass
-class One(InputPartition):
-    repo: dict
-    wanted: list[int] | None = None
-
-
-class GitReader(DataSourceReader):
-    def __init__(self, options):
-        self.table, self.repos = options["table"], json.loads(options["repos"])
-        self.wanted = json.loads(options["wanted"]) if "wanted" in options else None
-
-    def partitions(self):
-        of = lambda r: None if self.wanted is None else self.wanted.get(str(r["review_id"]), [])
-        return [One(r, of(r)) for r in self.repos]
-
-    def read(self, partition):
-        yield from collect(Repo(**partition.repo), self.table, None if partition.wanted is None else frozenset(partition.wanted))
-
-
-class GitChanges(DataSource):
-    @classmethod
-    def name(cls):
-        return "git_changes"
-
-    def schema(self):
-        return TABLES[self.options["table"]]
-
-    def reader(self, schema):
-        return GitReader(self.options)
-
-
-def load(spark: SparkSession, repos: list[Repo], table: str, wanted: dict[int, list[int]] | None = None) -> DataFrame:
-    """One relation of all repositories; of the patches those of the wanted ordinals of each review, or all."""
-    spark.dataSource.register(GitChanges)
-    if not repos:
-        return spark.createDataFrame([], TABLES[table])
-    reader = spark.read.format("git_changes").option("table", table).option("repos", json.dumps([asdict(r) for r in repos]))
-    return (reader if wanted is None else reader.option("wanted", json.dumps(wanted))).load()
-
-
-def feed(spark: SparkSession, repos: list[Repo], exclude: tuple[str, ...] = ()):
-    """The change feed of repositories, for plans.review. Patches of files that the file filter leaves out are not read
-    into memory: the filter runs over the listed files first, whose number the raw-file limit bounds."""
+        listed, n = parse_metadata(meta), 0
+        yield from (of("file", file_ord=i, **asdict(f)) for i, f in enumerate(listed))
+        low = Filter(pin["exclude"])
+        wanted = [low.reason(f.path, f.old_path) is None for f in listed]
+        for i, (patch, limit) in enumerate(read_patches(chain([rest], out), lambda i: i >= len(wanted) or wanted[i], per_file, total)):
+            n += 1
+            if i < len(wanted) and wanted[i]:
+                yield of("patch", file_ord=i, text=None if patch is None else _text(patch), note=limit)
+        if len(listed) != n:
+            raise CollectionFailed("Changed files and patches do not match.", details=f"{len(listed)} files, {n} patches")
+        if pin["includes_uncommitted"]:
+            for f, w in zip(listed, wanted, strict=True):
+                if w and has_source(f.status, f.path):
+                    content, note = read_working(root, f.path)
+                    yield of("source", path=f.path, text=content, note=note)
+    except ReviewError as e:
+        yield of("failure", failure=failure_row(e))
+
+
+def _flushed(rows: Iterable[dict], schema: str, size: int = 4 << 20) -> Iterator[pd.DataFrame]:
+    """Rows as frames of some megabytes at most, but for a row that is larger."""
+    got, n = [], 0
+    for r in rows:
+        got.append(r)
+        n += 200 + len(r.get("text") or "")
+        if n > size:
+            yield _frame(got, schema)
+            got, n = [], 0
+    if got:
+        yield _frame(got, schema)
+
+
+def read_changes(pins: DataFrame, per_file: int = L.PATCH_BYTES, total: int = L.TOTAL_PATCH_BYTES) -> DataFrame:
+    """The rows of CHANGES of all sound pins, written to the shared folder: each repository is read once."""
+
+    def read(batches):
+        for pdf in batches:
+            for p in pdf.to_dict("records"):
+                yield from _flushed(changes(p, per_file, total), CHANGES)
+
+    return cut(_spread(pins.filter("failure is null").drop("failure")).mapInPandas(read, CHANGES))
+
+
+def read_sources(files: DataFrame, pins: DataFrame, most: int = L.SOURCE_BYTES, blobs_a_task: int = BLOBS_A_TASK) -> DataFrame:
+    """review_id, path, content, note, failure from kept files (review_id, file_ord, path, status, mode, blob), read by
+    blob at the pinned revision and written to the shared folder. Blobs of one repository are dealt by ``blobs_a_task``."""
+
+    def read(batches):
+        for pdf in batches:
+            for (review, root, executable), g in pdf.groupby(["review_id", "repo_root", "executable"], sort=False):
+                try:
+                    rows = [{"review_id": review, "path": p, "text": c, "note": n} for p, c, n in read_blobs(root, zip(g["path"], g["mode"], g["blob"], strict=True), most, executable)]
+                except ReviewError as e:
+                    rows = [{"review_id": review, "failure": failure_row(e)}]
+                yield from _flushed(rows, out)
+
+    out = f"review_id long, path string, text string, note string, failure {FAILURE}"
+    at = pins.filter("not includes_uncommitted").select("review_id", "repo_root", "executable")
+    wanted = files.join(at, "review_id").withColumn("piece", F.floor(F.col("file_ord") / blobs_a_task))
+    dealt = wanted.repartition(max(1, 4 * files.sparkSession.sparkContext.defaultParallelism), "review_id", "piece").sortWithinPartitions("review_id", "file_ord")
+    return cut(dealt.select("review_id", "repo_root", "executable", "path", "mode", "blob").mapInPandas(read, out)).withColumnRenamed("text", "content")
+
+
+def feed(spark: SparkSession, repos: list[Repo] | DataFrame, per_file: int = L.PATCH_BYTES, total: int = L.TOTAL_PATCH_BYTES):
+    """The change feed of repositories, for plans.review: reviews, files, patches, sources, settings and failures.
+
+    Each repository is compared once, at object ids found before. Rows of one that failed are left out of all but
+    failures.
+    """
+    from ..functions import paths as P
     from ..operators import filtering
     from ..plans.review import Feed
 
-    t = {n: load(spark, repos, n) for n in TABLES if n != "raw_patches"}
-    t["files"] = cut(t["files"])
-    kept = filtering.with_filter_reason(t["files"], list(exclude)).filter("filter_reason is null")
-    wanted = {r["review_id"]: r["ords"] for r in kept.groupBy("review_id").agg(F.collect_list("file_ord").alias("ords")).collect()}
-    return Feed(t["reviews"], t["files"], load(spark, repos, "raw_patches", wanted), t["sources"])
+    pins = pinned(spark, repos)
+    rows = read_changes(pins, per_file, total)
+    failed = pins.filter("failure is not null").select("review_id", "failure").unionByName(rows.filter("relation = 'failure'").select("review_id", "failure"))
+    sound = lambda df: df.join(failed.select("review_id"), "review_id", "left_anti")
+    settings = sound(pins).select("review_id", "exclude", "n_questions", "follow_up", "report_path")
+    of = lambda relation: sound(rows.filter(F.col("relation") == relation))
+    files = of("file").select("review_id", "file_ord", "path", "old_path", "status", F.lit(None).cast("string").alias("language"), "mode", "blob")
+    kept = filtering.with_filter_reason(files, settings=settings).filter("filter_reason is null and status <> 'deleted'")
+    blobs = read_sources(kept.filter(P.has_extractor(F.col("path"), F.lit(None).cast("string"))), pins)
+    late = blobs.filter("failure is not null").select("review_id", "failure").dropDuplicates(["review_id"])
+    sources = of("source").select("review_id", "path", F.col("text").alias("content"), "note").unionByName(blobs.filter("failure is null").select("review_id", "path", "content", "note"))
+    reviews = sound(pins).drop("exclude", "n_questions", "follow_up", "report_path", "executable", "failure")
+    patches = of("patch").select("review_id", "file_ord", F.col("text").alias("patch"), F.col("note").alias("limit_reason"))
+    return Feed(reviews, files.drop("mode", "blob"), patches, sources, settings, failed.unionByName(late).select("review_id", "failure.*"))

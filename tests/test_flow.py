@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.errors import BaseNotFound, CollectionFailed, ConfigError, DetachedHead, GitFailed, IdsDiffer, NotARepository
+from reviewlake.errors import BaseNotFound, CollectionFailed, ConfigError, DetachedHead, GitFailed, IdsDiffer, NotARepository, raised
 from reviewlake.operators import grading, questions, report, selection, summarize
 from reviewlake.operators.effects import CITATION, citation
 from reviewlake.plans import review
@@ -164,10 +164,13 @@ def test_empty_report(spark):
 
 
 def test_report_files(spark, tmp_path):
-    df = spark.createDataFrame([(1, "# A\n\nb\n")], "review_id long, markdown string")
-    report.write(df, str(tmp_path / "r"))
-    found = list((tmp_path / "r").glob("review_id=1/*.txt"))
-    assert [f.read_text() for f in found] == ["# A\n\nb\n"]
+    def written(rows):
+        report.write(spark.createDataFrame(rows, "review_id long, markdown string"), str(tmp_path / "r"))
+        return {f.parent.name: f.read_text() for f in (tmp_path / "r").glob("review_id=*/*.txt")}
+
+    assert written([(1, "# A\n\nb\n"), (2, "two\n")]) == {"review_id=1": "# A\n\nb\n", "review_id=2": "two\n"}
+    # a later batch replaces its own reviews and leaves the others
+    assert written([(2, "two again\n"), (3, "three\n")]) == {"review_id=1": "# A\n\nb\n", "review_id=2": "two again\n", "review_id=3": "three\n"}
 
 
 def test_documentation_only(spark):
@@ -245,7 +248,7 @@ def test_git_errors(repo, tmp_path):
 
 def test_git_parsing():
     meta, found = git.split_output(b":1 1 a b R100\0old\0new\0:1 1 a b T\0t\0\0diff --git a\n+x\ndiff --git b\n+diff --git c\n")
-    assert git.parse_metadata(meta) == [("new", "old", "renamed"), ("t", None, "modified")]
+    assert git.parse_metadata(meta) == [git.Changed("new", "old", "renamed", "1", "b"), git.Changed("t", None, "modified", "1", "b")]
     assert found == [b"diff --git a\n+x\n", b"diff --git b\n+diff --git c\n"]
     assert git.split_output(b"") == (b"", [])
 
@@ -312,20 +315,16 @@ def test_hook_and_starter(repo, tmp_path):
         setup.write_starter(tmp_path / "c.yml")
 
 
-def test_too_many_files_to_analyse_stop_a_review(spark, shop):
-    """Only files that the filter keeps count: three of four here."""
-    feed, _ = shop
-    review.model(feed, review.Options(changed_files=3))
-    with pytest.raises(CollectionFailed, match="More than 2 files"):
-        review.model(feed, review.Options(changed_files=2))
-
-
 def test_answers_must_match_questions_by_id(spark, shop):
+    """A review whose answers do not match is set aside, with nothing graded or reported; others go on."""
     feed, b = shop
     sound = answers(spark, "x")
-    for rows, why in ((sound.filter("question_id <> 'failure'"), "must match"), (sound.unionByName(sound.limit(1)), "answer IDs must be unique"), (sound.withColumn("review_id", F.lit(2).cast("long")), "must match")):
-        with pytest.raises(IdsDiffer, match=why):
-            review.assess(feed, b, rows)
+    for rows, why in ((sound.filter("question_id <> 'failure'"), "must match"), (sound.unionByName(sound.limit(1)), "Answer IDs must be unique"), (sound.withColumn("review_id", F.lit(2).cast("long")), "must match")):
+        g = review.assess(feed, b, rows)
+        found = {r["review_id"]: r for r in g.failures.collect()}
+        assert found[1]["error"] == "IdsDiffer" and why in found[1]["message"]
+        assert g.assessments.count() == g.markdown.filter("review_id = 1").count() == 0
+        assert isinstance(raised(found[1]), IdsDiffer)
 
 
 def test_output_is_split_alike_however_it_comes():
@@ -334,8 +333,8 @@ def test_output_is_split_alike_however_it_comes():
     for size in range(1, len(data) + 1):
         chunks = iter([data[i : i + size] for i in range(0, len(data), size)])
         found, rest = git.read_metadata(chunks)
-        assert (found, list(git.read_patches([rest, *chunks]))) == (meta, patches)
-    assert list(git.read_patches([data[len(meta) + 2 :]], lambda i: i == 1)) == [None, patches[1], None]
+        assert (found, list(git.read_patches([rest, *chunks]))) == (meta, [(p, None) for p in patches])
+    assert list(git.read_patches([data[len(meta) + 2 :]], lambda i: i == 1)) == [(None, None), (patches[1], None), (None, None)]
 
 
 def test_metadata_limit_holds_while_reading():
@@ -347,15 +346,6 @@ def test_metadata_limit_holds_while_reading():
         git.read_metadata(endless(), most=10_000)
 
 
-def test_only_wanted_patches_are_read(spark, repo):
-    everything = {r["file_ord"]: r["patch"] for r in git.load(spark, [git.Repo(1, str(repo))], "raw_patches").collect()}
-    assert len(everything) == 4
-    some = git.load(spark, [git.Repo(1, str(repo))], "raw_patches", {1: [2]}).collect()
-    assert [(r["file_ord"], r["patch"]) for r in some] == [(2, everything[2])]
-    assert git.load(spark, [git.Repo(1, str(repo))], "raw_patches", {}).count() == 0
-    assert {r["file_ord"] for r in git.feed(spark, [git.Repo(1, str(repo))]).raw_patches.collect()} == {1, 2, 3}  # dist/app.js is filtered
-
-
 def test_failures_of_git_are_told(repo):
     with pytest.raises(GitFailed, match="diff"):
         list(git.streamed(str(repo), "diff", "nosuchref", "--"))

@@ -144,8 +144,9 @@ def test_hunks_and_affected_lines(spark):
 
 
 def test_bad_hunk_header(spark):
-    with pytest.raises(Exception, match="invalid hunk header"):
-        hunks_of(spark, "@@ nonsense @@\n+a").collect()
+    h = hunks_of(spark, "@@ -1 +1 @@\n+a\n@@ nonsense @@\n+a\n@@ more @@\n")
+    assert [r["new_start"] for r in h.orderBy("hunk_ord").collect()] == [1, None, None]
+    assert [tuple(r) for r in patches.unreadable(h).collect()] == [(1, "@@ nonsense @@")]
 
 
 def test_binary(spark):
