@@ -259,8 +259,9 @@ def rollback_conflict(spark, sf):
     return feed(spark, sf, feeds.REPLIES).select("review_id", "reply_ord", grading.rollback_conflict(T.normalize(F.col("raw_text")), claims).alias("conflict"))
 
 
-def graded(spark, sf):
-    """Small stand-in reviews: one question of each kind about fixed symbols, answered by the replies."""
+def graded(spark, sf, category=None):
+    """Small stand-in reviews: one question of each kind (or of one kind) about fixed symbols, answered by the replies.
+    Assessments that several results are made of are staged."""
     replies = feed(spark, sf, feeds.REPLIES)
     ids = replies.select(F.col("reply_ord").alias("review_id"))
     one = lambda *items: F.explode(F.array(*items)).alias("x")
@@ -274,9 +275,10 @@ def graded(spark, sf):
         ("behavior", F.array(sym)), ("failure", F.array(c("call.n3"), c("database.transaction"), c("processor.charge"))),
         ("evidence", F.array(citation("symbol", F.lit("src/pay.py"), F.lit("handle5"), line=F.lit(1)), citation("test", F.lit("tests/test_pay.py")))),
     ]
-    asked_ = ids.select("review_id", one(*[F.struct(F.lit(i).alias("question_ord"), F.lit(n).alias("id"), F.lit(n).alias("category"), r.alias("references")) for i, (n, r) in enumerate(q)])).select("review_id", "x.*")
+    asked_ = ids.select("review_id", one(*[F.struct(F.lit(i).alias("question_ord"), F.lit(n).alias("id"), F.lit(n).alias("category"), r.alias("references")) for i, (n, r) in enumerate(q) if category in (None, n)])).select("review_id", "x.*")
     answers = asked_.select("review_id", F.col("id").alias("question_id")).join(replies.select(F.col("reply_ord").alias("review_id"), "raw_text", "skipped"), "review_id")
-    return asked_, grading.grade(asked_, answers, files, symbols, calls, found), files
+    a = grading.grade(asked_, answers, files, symbols, calls, found)
+    return asked_, a if category else cut(a), files
 
 
 GRADED = (
@@ -290,7 +292,7 @@ GRADED = (
 
 @query(GRADED + "SELECT review_id, CASE WHEN skipped OR NOT anyhit THEN 'Uncertain' WHEN h3 AND (h5 OR c2 OR c3 OR ext OR txn OR tx1 OR ch) THEN 'Strong' ELSE 'Partial' END AS label FROM g")
 def grade_behavior(spark, sf):
-    return graded(spark, sf)[1].filter("question_id = 'behavior'").select("review_id", "label")
+    return graded(spark, sf, "behavior")[1].select("review_id", "label")
 
 
 @query(
@@ -298,12 +300,12 @@ def grade_behavior(spark, sf):
     "WHEN (c3 OR ext) AND (txn OR tx1) AND (ch OR ext) AND rec THEN 'Strong' ELSE 'Partial' END AS label FROM g"
 )
 def grade_failure(spark, sf):
-    return graded(spark, sf)[1].filter("question_id = 'failure'").select("review_id", "label")
+    return graded(spark, sf, "failure")[1].select("review_id", "label")
 
 
 @query(GRADED + "SELECT review_id, CASE WHEN skipped OR NOT anyhit THEN 'Uncertain' WHEN h5 AND contains(t, ' tests test pay py ') AND sup AND unc THEN 'Strong' ELSE 'Partial' END AS label FROM g")
 def grade_evidence(spark, sf):
-    return graded(spark, sf)[1].filter("question_id = 'evidence'").select("review_id", "label")
+    return graded(spark, sf, "evidence")[1].select("review_id", "label")
 
 
 def _graded_sql() -> str:
@@ -493,7 +495,7 @@ def markdown_report(spark, sf):
     reviews = ids.select("review_id", F.lit("feature").alias("current_branch"), F.lit("main").alias("base_branch"))
     purposes = ids.select("review_id", F.lit("Likely updates `handle3` across 2 meaningful files.").alias("purpose"))
     notes = ids.select("review_id", F.array(F.lit("A note.")).alias("notes"))
-    f = selection.follow_ups(q, a, files)
+    f = cut(selection.follow_ups(q, a, files))
     points = selection.talking_points(purposes, q, a, spark.createDataFrame([], "review_id long, first_ord long, description string, evidence array<" + effects.CITATION + ">"))
-    payload = report.payload(reviews, purposes, notes, q, answers, a, f, points, F.lit("2026-07-18 12:30:45").cast("timestamp"))
+    payload = report.payload(reviews, purposes, notes, q, answers, a, f, cut(points), F.lit("2026-07-18 12:30:45").cast("timestamp"))
     return report.markdown(payload)
