@@ -340,10 +340,10 @@ class WarcReader(DataSourceReader):
                 if now and held + b - a > self.partition_bytes:
                     out.append(Archives(tuple(now)))
                     now, held = [], 0
+                held += b - a
                 if now and now[-1][0] == path and now[-1][2] == a:
                     a = now.pop()[1]
                 now.append((path, a, b))
-                held += b - a
         return [*out, Archives(tuple(now))] if now or not out else out
 
     def _row(self, v: dict, h: dict, body: bytes | None) -> tuple:

@@ -500,3 +500,12 @@ def test_pipeline(spark):
     u = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = {r["doc_id"]: r["token_ids"] for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {r["doc_id"]: u.encode(r["text"], add_special_tokens=False).ids for r in after}
+
+
+def test_planned_sizes_of_archives(monkeypatch, tmp_path):
+    """Splits of an archive that stand together are one stretch, and count once in what a partition holds."""
+    mb = 1 << 20
+    monkeypatch.setattr(warc, "committed", lambda *_: [("a", 160 * mb, [16 * mb * i for i in range(1, 10)]), ("b", 100 * mb, []), ("c", 5 * mb, [])])
+    reader = warc.WarcReader({"path": str(tmp_path), "partitionBytes": str(64 * mb)}, None)
+    planned = [[(p, a // mb, b // mb) for p, a, b in x.parts] for x in reader.partitions()]
+    assert planned == [[("a", 0, 64)], [("a", 64, 128)], [("a", 128, 160)], [("b", 0, 100)], [("c", 0, 5)]]
