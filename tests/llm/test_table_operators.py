@@ -3,6 +3,7 @@
 import collections
 import glob
 import hashlib
+import math
 import os
 import zlib
 
@@ -130,30 +131,53 @@ def test_shingles_part_words_as_stated():
     assert len(minhash.shingles("a b c", 4)) == 1 and len(minhash.shingles("É é", 1)) == 2 and len(minhash.shingles("A a", 1)) == 1
 
 
-def brute_lines(rows, ratio, least, keep_whole=True):
-    pages = collections.Counter(h for _, h, _ in rows)
-    n = collections.Counter((h, x) for _, h, t in rows for x in set((t or "").split("\n")) if x.strip(" \t\n\x0b\x0c\r"))
+def brute_lines(rows, ratio, confidence):
+    first = {(h, t or "") for _, h, t in rows}
+    pages = collections.Counter(h for h, _ in first)
+    n = collections.Counter((h, x) for h, t in first for x in set(t.split("\n")) if x.strip(" \t\n\x0b\x0c\r"))
+
+    def frequent(h, line):
+        x, m = n[h, line] - 1, pages[h] - 1
+        if not x or x <= ratio * m:
+            return False
+        kl = x * math.log(x / (m * ratio)) + ((m - x) * math.log((m - x) / (m * (1 - ratio))) if x < m else 0)
+        return math.exp(-kl) <= 1 - confidence
+
     out = []
     for i, h, t in rows:
-        lines = (t or "").split("\n")
-        words = [x for x in lines if x.strip(" \t\n\x0b\x0c\r")]
-        drop = {x for x in words if n[h, x] >= least and n[h, x] > ratio * pages[h]}
-        left = [x for x in words if x not in drop]
-        whole = t is None or not drop or (keep_whole and not left)
-        out.append((i, t if whole else "\n".join(x for x in lines if x not in drop)))
+        drop = {x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r") and frequent(h, x)}
+        out.append((i, t if t is None or not drop else "\n".join(x for x in t.split("\n") if x not in drop)))
     return sorted(out, key=repr)
 
 
 def test_line_dedup(spark):
     rows = [(i, "a" if i % 3 else None, f"menu\nbody {i}\n\n  \nfoot {i % 2}\nmenu") for i in range(40)] + [(90, "b", "menu\nx"), (91, "a", "menu\nmenu"), (92, "a", None), (93, "a", ""), (91, "a", "menu\nmenu")]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("_n", F.lit(1)).withColumn("_host", F.lit("h")).withColumn("a.b", F.lit("clash"))
+    rows += [(200 + i, "c", f"a passage\nof two lines {i // 300}") for i in range(600)] + [(800 + i, "c", f"note {i}\nshared {i // 4}") for i in range(60)]
     rows.append((94, "long", "\n".join(f"line {i % 2000}" for i in range(50_000))))
-    df = df.unionByName(spark.createDataFrame(rows[-1:], "doc_id long, source string, text string").withColumn("_n", F.lit(1)).withColumn("_host", F.lit("h")).withColumn("a.b", F.lit("clash")))
-    for ratio, least, whole in ((0.3, 3, True), (0.6, 1, True), (1.0, 1, False), (0.3, 3, False), (0.01, 1, False)):
-        got = linedup.dedup_lines(df, ratio=ratio, min_pages=least, keep_whole=whole)
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("_n", F.lit(1)).withColumn("_host", F.lit("h")).withColumn("a.b", F.lit("clash"))
+    gone = 0
+    for ratio, confidence in ((0.3, 0.995), (0.6, 0), (0.99, 0.5), (0.01, 0), (0.01, 0.995), (0.05, 0.6)):
+        got = linedup.dedup_lines(df, ratio=ratio, confidence=confidence)
         assert got.columns == df.columns
-        assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == brute_lines(rows, ratio, least, whole)
+        got = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+        assert got == brute_lines(rows, ratio, confidence)
+        gone += sum(len(a or "") < len(b or "") for (_, a), (_, b) in zip(got, sorted(((i, t) for i, _, t in rows), key=repr)))
+    assert gone
     assert linedup.dedup_lines(df.limit(0)).count() == 0
+    for wrong in ({"ratio": 0}, {"confidence": 1}):
+        with pytest.raises(ValueError):
+            linedup.dedup_lines(df, **wrong)
+
+
+def test_line_dedup_leaves_small_hosts_and_copies(spark):
+    """Hosts of 1 to 99 unlike pages, and of any number of copies of a few pages, lose nothing; a menu goes from all."""
+    unlike = [(h * 1000 + i, f"u{h}", f"head {h} {i}\nbody {i}") for h in (1, 2, 3, 50, 99) for i in range(h)]
+    copied = [(10**6 + h * 1000 + i, f"k{h}", f"one\npage {i % 2}") for h in (2, 40, 700) for i in range(h)]
+    menu = [(2 * 10**6 + h * 1000 + i, f"m{h}", f"menu\nbody {i}") for h in (3, 20, 300) for i in range(h)]
+    df = spark.createDataFrame(unlike + copied + menu, "doc_id long, source string, text string")
+    got = {r["doc_id"]: r["text"] for r in linedup.dedup_lines(df).collect()}
+    assert all(got[i] == t for i, _, t in unlike + copied)
+    assert all(got[i] == t.split("\n")[1] for i, _, t in menu)
 
 
 def check_shards(rows, n, shards=16):
@@ -464,6 +488,34 @@ def test_op3(spark):
     assert {r["law"] for r in got} == {"rows"} and {r["grown_shard"] for r in got} == {None}
 
 
+def test_op3_like_a_ring_walked_key_by_key(spark):
+    """Size, checksum, shard and slot of every row of the table, from a ring on which one key after the other is put."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.xxhash64(F.lit(0), F.col("doc_id").cast("long")).alias("h")).collect()
+    got = {r["doc_id"]: (r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.op3_shards(spark, SF).collect()}
+    assert len(got) == len(docs)
+    cells, shards, n = 4096, 16, len(docs)
+    bound = [n // shards + (s < n % shards) for s in range(shards)]
+    nodes = sorted(
+        (int.from_bytes(hashlib.blake2b(f"0:{s}:{v}".encode(), digest_size=8).digest(), "big") % cells, int.from_bytes(hashlib.blake2b(f"0:{s}:{v}".encode(), digest_size=8).digest(), "big"), s)
+        for s in range(shards) for v in range(64)
+    )
+    used, want = [0] * shards, {}
+    # rows at one position go on together: those that a node has no room for are next at the following node
+    waiting = collections.defaultdict(list)
+    for r in sorted(docs, key=lambda r: (r["h"] % cells, r["h"], r["doc_id"])):
+        waiting[r["h"] % cells].append(r)
+    for step in range(len(nodes)):
+        for cell in sorted(waiting):
+            first = next((i for i, (p, _, _) in enumerate(nodes) if p >= cell), 0)
+            s = nodes[(first + step) % len(nodes)][2]
+            while waiting[cell] and used[s] < bound[s]:
+                r = waiting[cell].pop(0)
+                data = None if r["text"] is None else r["text"].encode()
+                want[r["doc_id"]] = (len(data or b"") + 1, None if data is None else zlib.crc32(data), s, used[s])
+                used[s] += 1
+    assert got == want
+
+
 def test_pipeline(spark):
     """Each stage against its brute-force counterpart on its own input; the last row by row with the library."""
     import corpus_pipeline
