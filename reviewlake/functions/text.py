@@ -83,7 +83,7 @@ def inline_code(c: Column) -> Column:
     runs = F.transform(F.regexp_extract_all(c, F.lit("(`+)"), 1), F.length)
     fence = F.call_function("repeat", F.lit("`"), F.coalesce(F.array_max(runs), F.lit(0)) + 1)
     pad = F.when(c.startswith("`") | c.endswith("`"), " ").otherwise("")
-    return F.concat(fence, pad, c, pad, fence)
+    return F.when(c.contains("`"), F.concat(fence, pad, c, pad, fence)).otherwise(F.concat(F.lit("`"), c, F.lit("`")))
 
 
 def squeezed(c: Column) -> Column:

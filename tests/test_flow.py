@@ -133,6 +133,33 @@ def test_failure_answers(spark):
     assert [r["label"] for r in small(spark, [t for t, _ in FAILURES])] == [x for _, x in FAILURES]
 
 
+def test_review_of_many_concepts(spark):
+    """20,000 calls: those that the answer names are matched in order, what the question cites first, each source once."""
+    n, said = 20_000, [3, 17_000, 19_999]
+    files = spark.createDataFrame([(1, 0, "src/pay.py", False)], "review_id long, file_ord int, path string, is_test boolean")
+    none = spark.createDataFrame([], "review_id long, symbol_ord int, path string, name string, line_start int")
+    calls = spark.range(n).select(F.lit(1).cast("long").alias("review_id"), F.col("id").cast("int").alias("call_ord"), F.lit("src/pay.py").alias("path"), F.format_string("send.unit%05d", "id").alias("name"), F.lit(1).alias("line_start"))
+    c = lambda name: citation("call", F.lit("src/pay.py"), F.lit(name), F.lit("@@"), F.lit(1), F.lit(1))
+    found = spark.range(1).select(F.lit(1).cast("long").alias("review_id"), F.lit(0).alias("effect_ord"), F.lit("network call").alias("kind"), F.array(c("send.unit00003")).alias("evidence"))
+    q = spark.range(1).select(F.lit(1).cast("long").alias("review_id"), F.lit(0).alias("question_ord"), F.lit("q").alias("id"), F.lit("behavior").alias("category"), F.array(c("send.unit17000"), c("send.unit17000")).alias("references"))
+    a = spark.createDataFrame([(1, "q", " and ".join(f"send.unit{i:05d}" for i in said), False)], "review_id long, question_id string, raw_text string, skipped boolean")
+    got = grading.grade(q, a, files, none, calls, found).collect()
+    assert [x["symbol"] for x in got[0]["matched_evidence"]] == ["send.unit17000", "send.unit00003", "send.unit19999"]
+    assert [x["symbol"] for x in got[0]["evidence"]] == ["send.unit17000", "send.unit00003", "send.unit19999"] and got[0]["label"] == "Strong"
+
+
+def test_claims_name_phrases_that_overlap(spark):
+    """Phrases that hold words of the claim, or stand in it more than once, are found as whole words only."""
+    from reviewlake.functions import text as T
+
+    said = [("rollback undoes the rollback handler", "rollback handler", True), ("rollback cancels run run run", "run run", True), ("rollback reverts the external effect", "external effect", True),
+            ("rollback reverts recharge", "charge", False), ("rollback never reverts charge but rollback reverts charge", "charge", False), ("charge two is reverted by the rollback", "charge", True),
+            ("rollback " + "x" * 61 + " reverts charge", "charge", False), ("discharge is reverted by the rollback", "charge", False)]
+    df = spark.createDataFrame([(i, t, p) for i, (t, p, _) in enumerate(said)], "i int, t string, p string")
+    got = df.select("i", grading.rollback_conflict(T.normalize(F.col("t")), F.array("p")).alias("c")).orderBy("i").collect()
+    assert [r["c"] for r in got] == [c for _, _, c in said]
+
+
 def test_uncertain_answers(spark):
     skipped = small(spark, ["charge retry", None], skipped=True)
     assert {(r["label"], r["confidence"]) for r in skipped} == {("Uncertain", "low")} and "skipped" in skipped[0]["uncertainty_notes"][0]
