@@ -27,12 +27,16 @@ def phrases(value: Column) -> Column:
     name = F.element_at(F.split(value, "/"), -1)
     stem = F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
     last = normalize(F.element_at(F.split(value, r"\."), -1))
-    lead = F.regexp_replace(last, rf"^(?:(?:{words_in(L.LEADING_WORDS)})(?: |$))+", "")
-    lead = F.regexp_replace(lead, "^by(?: |$)", "")
-    lead = F.when(lead.contains(" "), lead).otherwise("")
-    found = F.when(value.contains("/"), F.array(normalize(value), normalize(name), normalize(stem))).otherwise(
-        F.array(normalize(value), last, lead)
-    )
+
+    def lead(words: Column) -> Column:
+        """Without leading words; empty unless more than one word is left."""
+        for start in (rf"(?:(?:{words_in(L.LEADING_WORDS)})(?: |$))+", "by(?: |$)", "[^ ]*$"):
+            words = F.regexp_replace(words, "^" + start, "")
+        return words
+
+    # the one-element array binds the last part, so that it is normalised once
+    parts = F.get(F.transform(F.array(last), lambda x: F.array(x, lead(x))), F.lit(0))
+    found = F.when(value.contains("/"), F.array(normalize(value), normalize(name), normalize(stem))).otherwise(F.concat(F.array(normalize(value)), parts))
     says = lambda p: p.contains(" ") | ((F.length(p) >= 5) & ~p.isin(L.GENERIC_WORDS))
     return F.coalesce(F.array_distinct(F.filter(found, says)), F.array().cast("array<string>"))
 
