@@ -18,7 +18,7 @@ def broadcast_keys(df: DataFrame) -> set[str]:
     return set(re.findall(r"Broadcast\w*Join \[(\w+)#", df._jdf.queryExecution().executedPlan().toString()))
 
 
-@pytest.mark.parametrize("name", ["graded_assessments", "grade_behavior", "grade_failure", "markdown_report"])
+@pytest.mark.parametrize("name", ["graded_assessments", "grade_behavior", "grade_evidence", "grade_failure", "markdown_report"])
 def test_only_names_are_broadcast(spark, monkeypatch, name):
     """With Spark's own threshold, whose estimates see neither exploded rows nor compression."""
     seen = []
